@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, fingerprints, sharding, urls
+from quillgraph.llm import bpe, fingerprints, lines, minhash, mixing, sharding, toxicity, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +23,40 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op4_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("node")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op2_feistel_shards, op3_token_counts, op7_bpe_round_trip, op10_url_filter)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_winnowing, op2_feistel_shards, op3_token_counts, op4_probminhash, op5_toxicity, op6_cube_mix, op7_bpe_round_trip,
+        op8_embedding_near_dedup, op9_fuzzy_lines, op10_url_filter,
+    )
+}
 
 ORACLES: dict[str, str] = {}
