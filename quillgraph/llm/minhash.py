@@ -122,19 +122,96 @@ def text_key() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: int, least: float, name: str) -> DataFrame:
-    """The pairs (a, b) of text keys whose sets of shingles have a Jaccard similarity of at least `least`. Each text is
-    fetched once, by the smallest doc_id that has it."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = materialize(wanted.join(nodes.select("node", F.col("rep").alias("doc_id")), "node"), f"{name}-wanted")
+def _shingle_sets(wanted: DataFrame, nodes: DataFrame, documents: DataFrame, size: int) -> DataFrame:
+    """node, shingles (sorted hashes) of the wanted text keys. Each text is fetched once, by the smallest doc_id that has it."""
+    ids = materialize(wanted.join(nodes.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
     texts = documents.select("doc_id", F.lower("text").alias("text"), text_key().alias("_quill_key")).join(small(ids), "doc_id").where("_quill_key = node")
-    sets = texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets(size), "node binary, shingles binary")
-    sets = materialize(sets, f"{name}-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    links = materialize(both.select("a", "b", "sa", "sb").mapInArrow(_similar(least), "a binary, b binary"), f"{name}-links")
+    sets = materialize(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets(size), "node binary, shingles binary"), "sets")
     discard(ids)
-    discard(sets)
-    return links
+    return sets
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float, name: str) -> DataFrame:
+    """The pairs (a, b) of text keys whose sets of shingles have a Jaccard similarity of at least `least`."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    return materialize(both.select("a", "b", "sa", "sb").mapInArrow(_similar(least), "a binary, b binary"), f"{name}-links")
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    flat = np.concatenate(sets)
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    often = counts > 1
+    column = np.cumsum(often) - 1
+    keep = often[at]
+    of, column = of[keep], column[at[keep]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    for lo in range(0, int(often.sum()), 4096):
+        x, y = np.searchsorted(column, [lo, lo + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[of[x:y], column[x:y] - lo] = 1
+        out += m @ m.T
+    return out
+
+
+def _block_links(least: float):
+    """Within each task (the members of one or two blocks of a bucket), links enough to connect what the task connects."""
+
+    def links(rows: list[tuple]) -> list[tuple]:
+        if len(rows) < 2:
+            return []
+        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+        names = {r: i for i, r in enumerate(dict.fromkeys(r[1] for r in rows))}
+        label = np.array([names[r[1]] for r in rows])
+        size = np.array([len(x) for x in sets])
+        both = _shared(sets)
+        ok = np.triu(both >= least * (size[:, None] + size[None, :] - both), 1) & (label[:, None] != label[None, :])
+        out = []
+        for x, y in zip(*np.nonzero(ok), strict=True):
+            if label[x] != label[y]:
+                label[label == label[y]] = label[x]
+                out.append((rows[x][0], rows[y][0]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, rows, out = None, [], []
+        for b in batches:
+            for t, node, root, shingles in zip(*(b.column(c).to_pylist() for c in ("task", "node", "root", "shingles")), strict=True):
+                if t != task:
+                    out += links(rows)
+                    task, rows = t, []
+                rows.append((node, root, shingles))
+        out += links(rows)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+#: Members of a mixed bucket up to which its pairs are made as rows (a bounded number for each member); larger buckets are
+#: compared block by block, without rows for pairs.
+PAIRED, BLOCK = 32, 256
+
+
+def _across(rooted: DataFrame, stars: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links between members of a bucket (bucket, node, root) that lie in different classes so far."""
+    sizes = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    sized = materialize(rooted.join(sizes, "bucket"), "mixed-sized")
+    x, y = (sized.where(F.col("n") <= PAIRED).select("bucket", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "xy")
+    pairs = x.join(y, "bucket").where("root_x < root_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    found = _verified(pairs.join(stars, ["a", "b"], "left_anti"), sets, least, "rest")
+    large = sized.where(F.col("n") > PAIRED).withColumn("_of", F.ceil(F.col("n") / BLOCK).cast("int"))
+    if not large.limit(1).count():
+        return found
+    large = large.withColumn("_i", F.pmod(F.xxhash64("node", "bucket"), F.col("_of")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_of") - 1))
+    tasks = large.select("bucket", "node", "root", "_i", other.alias("_j")).select("node", "root", F.xxhash64("bucket", F.least("_i", "_j"), F.greatest("_i", "_j")).alias("task"))
+    tasks = tasks.join(sets, "node").repartition("task").sortWithinPartitions("task", "node")
+    more = materialize(tasks.select("task", "node", "root", "shingles").mapInArrow(_block_links(least), "a binary, b binary"), "block-links")
+    return found.unionByName(more)
 
 
 def near_duplicates(documents: DataFrame, size: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -143,8 +220,9 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, least: float = SI
     Two different texts are linked if they share a band and the Jaccard similarity of their sets of `size`-word shingles
     (lower-cased runs of letters and digits; a text of fewer words is one shingle) is at least `least`; classes are the
     connected components, equal texts share a class. Within a band's bucket all texts are first compared with one of
-    them; only texts that still lie in different classes are then compared with each other, so that a large group of
-    near copies costs comparisons in proportion to its size and no link between classes is lost.
+    them; only where texts then still lie in different classes are they compared with each other, in small buckets as
+    pairs, in large ones block by block, so that a large group of near copies makes no rows for its pairs and no link
+    between classes is lost.
     Texts without any word (null and empty ones too) are linked with nothing and kept. Rows without doc_id take part and
     never lead a class that has an id. Repeated rows get equal results.
     """
@@ -152,23 +230,19 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, least: float = SI
     sketched = materialize(sketched, "sketch")
     nodes = materialize(sketched.where("bands is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
     members = nodes.select(F.explode("bands").alias("bucket"), "node")
-    hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("bucket", "hub")
     members = materialize(members.join(hubs, "bucket"), "buckets")
+    sets = _shingle_sets(members.select("node").distinct(), nodes, documents, size)
     stars = materialize(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = _verified(stars, nodes, documents, size, least, "stars")
+    links = _verified(stars, sets, least, "stars")
     found = materialize(components(links, "near"), "near")
 
     rooted = members.join(found, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    rooted = materialize(rooted.join(mixed, "bucket"), "mixed")
-    x, y = (rooted.select("bucket", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "xy")
-    rest = x.join(y, "bucket").where("root_x < root_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        more = _verified(rest, nodes, documents, size, least, "rest")
-        if more.limit(1).count():
-            found = materialize(components(links.unionByName(more), "near"), "near")
-    for x in (members, stars, rooted, rest):
+    more = materialize(_across(materialize(rooted.join(mixed, "bucket"), "mixed"), stars, sets, least), "more")
+    if more.limit(1).count():
+        found = materialize(components(links.unionByName(more), "near"), "near")
+    for x in (members, stars, sets):
         discard(x)
 
     led = nodes.select("node", "rep").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
