@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Words remembered by one Python worker; the memory starts afresh beyond that (results do not depend on it).
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 _LONG_WORD = 64  # longer words are not remembered
 
 #: The byte-level splitting pattern (fixed values of the public tokenizer), white space by its Unicode property.
@@ -56,7 +56,10 @@ class ByteBPE:
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
-        self.longest = max(map(len, self.ids))
+        self.reach: dict[bytes, int] = {}  # the longest token with these first bytes (three, or all of a shorter one)
+        for k in self.ids:
+            for start in {k[:1], k[:2], k[:3]}:
+                self.reach[start] = max(self.reach.get(start, 0), len(k) if len(start) == 3 else min(len(k), 2))
         self.find = regex.compile(SPLIT).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.counts: dict[str, int] = {}
@@ -126,9 +129,9 @@ class ByteBPE:
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest-match tokens."""
-        out, at, n, ids, longest = [], 0, len(word), self.ids, self.longest
+        out, at, n, ids, reach = [], 0, len(word), self.ids, self.reach
         while at < n:
-            end = min(n, at + longest)
+            end = min(n, at + (reach.get(word[at : at + 3]) or reach.get(word[at : at + 2]) or 1))
             while (i := ids.get(word[at:end])) is None:
                 end -= 1
             out.append(i)
@@ -182,7 +185,7 @@ class ByteBPE:
         if len(known) >= REMEMBERED:
             known.clear()
         split = [list(self.pieces(t)) for t in texts]
-        new = {w for parts in split for _, found in parts for w in found if w not in known}
+        new = set(chain.from_iterable(found for parts in split for _, found in parts)).difference(known)
         got = self.encode_words(new)
         once = {w: v for w, v in got.items() if len(w) > _LONG_WORD}
         known.update((w, v) for w, v in got.items() if len(w) <= _LONG_WORD)
