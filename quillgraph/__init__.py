@@ -1,0 +1 @@
+"""Evidence-graph analytics and training-data preparation on Spark."""

@@ -1,0 +1,2 @@
+"""No operator of this library is bound to streams: dumps are read in bounded memory as batches, and the intermediate levels of
+iterative operators are written tables. Structured Streaming sources can feed the same transformations batch by batch."""
