@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import roles as R
-from quillgraph.operators import analyses, edges, expand, formats, graph, quality, rank, rounds, routes
+from quillgraph.operators import albumgraph, analyses, artifacts, edges, expand, formats, graph, quality, rank, rounds, routes
 from quillgraph.plans import lens as L
 from quillgraph.policies import LENS
+from quillgraph.sources import html
 from quillgraph.sources.scratch import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -622,3 +623,38 @@ def family_exclusions(spark, sf_dir):
 def event_props(spark, sf_dir):
     e = L.read(spark, sf_dir, "events").where("event_type = 'click'")
     return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+
+
+@query()
+def recommended_routes(spark, sf_dir):
+    m, c = _catalog(spark, sf_dir)
+    albums = materialize(c.orderBy("master_id").limit(12), "albums")
+    g = albumgraph.anchored_graph(m, _stored(spark, sf_dir), albums, LENS)
+    a = albumgraph.anchors(albums).select("anchor_id")
+    pairs = a.select(F.col("anchor_id").alias("start")).join(a.select(F.col("anchor_id").alias("end")), F.col("start") > F.col("end"))
+    return albumgraph.recommended_routes(g, materialize(pairs, "pairs"), formats.release_caveats(m, LENS), LENS, max_hops=1)
+
+
+@query()
+def connectivity_pairs(spark, sf_dir):
+    m, c = _catalog(spark, sf_dir)
+    albums = [r.asDict() for r in c.orderBy("master_id").limit(12).collect()]
+    pairs = artifacts.connectivity_cohort(_stored(spark, sf_dir), albums)["pairs"]
+    rows = [(p["album_a_id"], p["album_b_id"], p["status"], p.get("hop_count"), "-".join(str(h["release_id"]) for h in p["hops"])) for p in pairs]
+    return spark.createDataFrame(rows, "album_a_id long, album_b_id long, status string, hop_count int, releases string")
+
+
+@query(f"""WITH {_SCORES}, {_CATALOG}, {_POLICY.replace(L.SQL + ", ", "")},
+j AS (SELECT c.master_id, coalesce(p.decision, 'missing') AS decision, lower(m.genres[1]) IN ({', '.join(repr(g) for g in LENS.non_studio_genres)}) AS non_studio,
+  regexp_matches(lower(p.title), '{LENS.variant_release_pattern}') AS variant_title,
+  EXISTS (SELECT 1 FROM credits k WHERE k.release_id = c.main_release_id AND k.artist_id = c.artist_id AND k.credit_scope = 'release_artist') AS billed
+  FROM catalog c LEFT JOIN policy p ON p.release_id = c.main_release_id LEFT JOIN masters m ON m.master_id = c.master_id)
+SELECT *, decision = 'allow' AND NOT non_studio AND NOT variant_title AND billed AS passes FROM j""")
+def catalog_audit(spark, sf_dir):
+    m, c = _catalog(spark, sf_dir)
+    return artifacts.catalog_audit(m, c, formats.format_policy(m, LENS), LENS)
+
+
+@query()
+def page_candidates(spark, sf_dir):
+    return html.extract_candidates(L.read(spark, sf_dir, "pages"))
