@@ -14,9 +14,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Words remembered by one Python worker; the memory starts afresh beyond that (results do not depend on it).
-REMEMBERED = 600_000
-_LONG_WORD = 64  # longer words are not remembered
+from quillgraph.llm.common import map_batches
+
+#: Words remembered by one Python worker; beyond that only short ones, which return most, are kept (results do not depend on it).
+REMEMBERED = 200_000
+_SHORT_WORD, _LONG_WORD = 8, 64  # longer words than the latter are not remembered
 
 #: The byte-level splitting pattern (fixed values of the public tokenizer), white space by its Unicode property.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -35,6 +37,14 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _thin(known: dict[str, object]) -> None:
+    """Drops long words, or all if too many are short."""
+    kept = {w: v for w, v in known.items() if len(w) <= _SHORT_WORD}
+    known.clear()
+    if len(kept) < REMEMBERED // 2:
+        known.update(kept)
+
+
 class ByteBPE:
     """A byte-level BPE vocabulary read from a tokenizers .json file."""
 
@@ -63,7 +73,7 @@ class ByteBPE:
         self.find = regex.compile(SPLIT).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.counts: dict[str, int] = {}
-        self.encoded: dict[str, tuple[int, ...]] = {}
+        self.encoded: dict[str, bytes] = {}  # ids as 32-bit integers
         self.pairs = np.zeros(0, np.int64)  # sorted keys of tested pairs
         self.fits = np.zeros(0, bool)
 
@@ -122,7 +132,7 @@ class ByteBPE:
                     n = len(raw) - self.merge(raw)[1]
                     if len(w) <= _LONG_WORD:
                         if len(known) >= REMEMBERED:
-                            known.clear()
+                            _thin(known)
                         known[w] = n
                 total += n
         return total
@@ -158,8 +168,8 @@ class ByteBPE:
             self.pairs, self.fits = merged[order], np.concatenate([self.fits, flags])[order]
         return self.fits[np.searchsorted(self.pairs, unique)][back]
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of each distinct word. Greedy proposals stand if every adjacent pair of their tokens (and a lone token) would
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of each distinct word, as 32-bit integers. Greedy proposals stand if every adjacent pair of their tokens (and a lone token) would
         itself come out of exact merging; the pairs of all words are tested at once, only failing words are merged exactly."""
         words = list(words)
         if not words:
@@ -178,30 +188,34 @@ class ByteBPE:
         ok = np.ones(len(flat), bool)
         ok[tested] = self._fitting(flat[tested] * size + nxt[tested])
         good = np.minimum.reduceat(ok, starts)
-        return {w: tuple(p) if g else tuple(self.merge(w.encode())[0]) for w, p, g in zip(words, proposals, good.tolist(), strict=True)}
+        packed = flat.astype(np.int32).tobytes()
+        spans = zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)
+        return {w: packed[i:j] if g else np.array(self.merge(w.encode())[0], np.int32).tobytes() for w, (i, j), g in zip(words, spans, good.tolist(), strict=True)}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         known = self.encoded
-        if len(known) >= REMEMBERED:
-            known.clear()
         split = [list(self.pieces(t)) for t in texts]
         new = set(chain.from_iterable(found for parts in split for _, found in parts)).difference(known)
-        got = self.encode_words(new)
-        once = {w: v for w, v in got.items() if len(w) > _LONG_WORD}
-        known.update((w, v) for w, v in got.items() if len(w) <= _LONG_WORD)
+        if len(known) + len(new) > REMEMBERED:
+            _thin(known)
+            new = set(chain.from_iterable(found for parts in split for _, found in parts)).difference(known)
+        known.update(self.encode_words(new))
         out = []
         for parts in split:
-            ids: list[int] = []
+            ids = bytearray()
             for special, found in parts:
-                if special is not None:
-                    ids.append(self.special[special])
-                elif once:
-                    ids.extend(chain.from_iterable(known[w] if w in known else once[w] for w in found))
-                else:
-                    ids.extend(chain.from_iterable(map(known.__getitem__, found)))
-            out.append(ids)
+                ids += np.int32(self.special[special]).tobytes() if special is not None else b"".join(map(known.__getitem__, found))
+            out.append(np.frombuffer(bytes(ids), np.int32).tolist())
+        for w in new:
+            if len(w) > _LONG_WORD:
+                del known[w]
         return out
 
+    def forget(self) -> None:
+        """Drops what was remembered."""
+        self.counts.clear()
+        self.encoded.clear()
+
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -211,8 +225,8 @@ def load(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def _groups(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about a million characters (null: empty), so that one step's memory stays bounded."""
+def _groups(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about a quarter of a million characters (null: empty), so that one step's memory stays bounded."""
     at, size, out = 0, 0, []
     for i in range(len(texts)):
         t = texts[i].as_py() or ""
@@ -241,8 +255,9 @@ def count_tokens(documents: DataFrame, path: str | None = None, limit: int = 102
                 n_tokens += [bpe.count(t) for t in texts]
             tokens = pa.array(n_tokens, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_bytes, pa.int64()), tokens, pa.array([n > limit for n in n_tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        bpe.forget()
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(documents.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -255,8 +270,9 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
             for at, texts in _groups(b.column("text")):
                 ids = bpe.encode(texts)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
+        bpe.forget()
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return map_batches(documents.select("doc_id", "text"), run, "doc_id long, ids array<int>, decoded string")
 
 
 def encode_digests(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -274,5 +290,6 @@ def encode_digests(documents: DataFrame, path: str | None = None) -> DataFrame:
                     of_ids.append(digest(",".join(map(bpe.names.__getitem__, ids))))
                     of_text.append(digest(bpe.decode(ids)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(documents.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_STEP = 1 << 21  # bytes of text handled at once; a longer text is handled alone
+_STEP = 1 << 19  # bytes of text handled at once; a longer text is handled alone
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _U = np.uint64
 
@@ -48,7 +48,10 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         return np.zeros(0, np.uint64)
     power, inverse = _power(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + _U(1)) * power[: len(data)], out=sums[1:])
+    terms = data.astype(np.uint64)
+    terms += _U(1)
+    terms *= power[: len(data)]
+    np.cumsum(terms, out=sums[1:])
     return mix((sums[end] - sums[start]) * inverse[start])
 
 

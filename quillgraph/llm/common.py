@@ -38,6 +38,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch on its way to Python, set for the session where it has the defaults: whole texts are
+#: large, and a batch stands in the executor's direct memory and in the Python worker at once.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of bounded bytes, which gives memory back when a task ends: Python workers are
+    reused, and what their allocators keep would add up beside the executor's heap from stage to stage."""
+
+    def tidied(batches):
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        import pyarrow
+
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            return
+
+    conf = df.sparkSession.conf
+    for key, (default, ours) in ARROW.items():
+        if conf.get(key, default) == default:
+            conf.set(key, ours)
+    return df.mapInArrow(tidied, schema)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized frame that nothing reads any more."""
     spark = df.sparkSession

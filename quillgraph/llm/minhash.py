@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bytewords
-from quillgraph.llm.common import components, discard, materialize, small
+from quillgraph.llm.common import components, discard, map_batches, materialize, small
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -52,7 +52,7 @@ def signatures(hashes: np.ndarray, begins: np.ndarray, registers: int) -> np.nda
         latest = earliest.reshape(texts, registers).max(1)
         live = time < latest[of]
         h, of, weight, time = h[live], of[live], weight[live], time[live]
-        width = min(16, width * 2) if len(h) < 20_000 else 1
+        width = min(32, width * 2) if len(h) < 10_000 else 1
     return winner.reshape(texts, registers)
 
 
@@ -126,7 +126,7 @@ def _shingle_sets(wanted: DataFrame, nodes: DataFrame, documents: DataFrame, siz
     """node, shingles (sorted hashes) of the wanted text keys. Each text is fetched once, by the smallest doc_id that has it."""
     ids = materialize(wanted.join(nodes.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
     texts = documents.select("doc_id", F.lower("text").alias("text"), text_key().alias("_quill_key")).join(small(ids), "doc_id").where("_quill_key = node")
-    sets = materialize(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets(size), "node binary, shingles binary"), "sets")
+    sets = materialize(map_batches(texts.select("node", "text").dropDuplicates(["node"]), _sets(size), "node binary, shingles binary"), "sets")
     discard(ids)
     return sets
 
@@ -134,7 +134,7 @@ def _shingle_sets(wanted: DataFrame, nodes: DataFrame, documents: DataFrame, siz
 def _verified(pairs: DataFrame, sets: DataFrame, least: float, name: str) -> DataFrame:
     """The pairs (a, b) of text keys whose sets of shingles have a Jaccard similarity of at least `least`."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return materialize(both.select("a", "b", "sa", "sb").mapInArrow(_similar(least), "a binary, b binary"), f"{name}-links")
+    return materialize(map_batches(both.select("a", "b", "sa", "sb"), _similar(least), "a binary, b binary"), f"{name}-links")
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -210,7 +210,7 @@ def _across(rooted: DataFrame, stars: DataFrame, sets: DataFrame, least: float)
     other = F.explode(F.sequence(F.lit(0), F.col("_of") - 1))
     tasks = large.select("bucket", "node", "root", "_i", other.alias("_j")).select("node", "root", F.xxhash64("bucket", F.least("_i", "_j"), F.greatest("_i", "_j")).alias("task"))
     tasks = tasks.join(sets, "node").repartition("task").sortWithinPartitions("task", "node")
-    more = materialize(tasks.select("task", "node", "root", "shingles").mapInArrow(_block_links(least), "a binary, b binary"), "block-links")
+    more = materialize(map_batches(tasks.select("task", "node", "root", "shingles"), _block_links(least), "a binary, b binary"), "block-links")
     return found.unionByName(more)
 
 
@@ -226,7 +226,7 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, least: float = SI
     Texts without any word (null and empty ones too) are linked with nothing and kept. Rows without doc_id take part and
     never lead a class that has an id. Repeated rows get equal results.
     """
-    sketched = documents.select("doc_id", text_key().alias("node"), F.lower("text").alias("text")).mapInArrow(_sketch(size, bands, rows), "doc_id long, node binary, bands array<long>")
+    sketched = map_batches(documents.select("doc_id", text_key().alias("node"), F.lower("text").alias("text")), _sketch(size, bands, rows), "doc_id long, node binary, bands array<long>")
     sketched = materialize(sketched, "sketch")
     nodes = materialize(sketched.where("bands is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
     members = nodes.select(F.explode("bands").alias("bucket"), "node")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.bytewords import mix as _hash
-from quillgraph.llm.common import discard, materialize, small
+from quillgraph.llm.common import map_batches, materialize, small
 from quillgraph.llm.minhash import text_key
 
 WEIGHTS = (5, 2, 1)
@@ -193,7 +193,7 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     while True:
         salted = units.withColumn("_chunk", F.pmod(F.xxhash64("_h", "size", F.lit(level)), F.col("_chunks")).cast("int"))
         ordered = salted.repartition("_s", "_chunk").sortWithinPartitions("_s", "_chunk", F.desc("size"), "_h", "doc_id")
-        flown = materialize(ordered.mapInArrow(_fly(ordered.columns), ordered.schema), "flown")
+        flown = materialize(map_batches(ordered, _fly(ordered.columns), ordered.schema), "flown")
         done = flown.where("_p = 0 or _p = 1")
         decided = done if decided is None else decided.unionByName(done)
         if all(p[-1] == 1 for p in plan):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bytewords
-from quillgraph.llm.common import materialize
+from quillgraph.llm.common import map_batches, materialize
 
 #: Labelled documents fitted on at most, those of the smallest hashes. Everything else runs over all rows.
 TRAIN_ROWS = 8_000
@@ -81,7 +81,8 @@ def features(column: pa.Array, learned: np.ndarray) -> Iterator[tuple[int, np.nd
     """(first row, features) for runs of whole texts, with a learned lexicon of sorted hashes; null and empty texts have zeros."""
 
     def total(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
-        c = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+        c = np.zeros(len(flags) + 1, np.int32)
+        np.cumsum(flags, out=c[1:])
         return (c[at[1:]] - c[at[:-1]]).astype(np.float64)
 
     for row, _, data, offsets in bytewords.slices(column):
@@ -98,7 +99,8 @@ def features(column: pa.Array, learned: np.ndarray) -> Iterator[tuple[int, np.nd
         letters = np.maximum(total(_LETTER[data], offsets), 1)
         # words in which letters are mixed with digits or signs, read with those replaced
         ds, de, db = bytewords.words(data, offsets, _DISGUISED)
-        mixed = np.concatenate([[0], np.cumsum(~_LETTER[data])])
+        mixed = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(~_LETTER[data], out=mixed[1:])
         signs = mixed[de - 1] > mixed[ds] if len(ds) else np.zeros(0, bool)
         odd = signs & _LETTER[data[ds]] if len(ds) else signs
         masked = odd & _among(bytewords.hash_spans(_plain[data], ds, de), _LEX) if len(ds) else odd
@@ -249,7 +251,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _lexicons(train: DataFrame) -> list[np.ndarray]:
     """Learned lexicons from fold 0, fold 1 and both: entries that are much more frequent in toxic text."""
     side = lambda k, c: F.sum(F.when(F.col("side") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
-    counts = train.mapInArrow(_word_counts, "entry long, side int, words long, docs long").groupBy("entry").agg(*(side(k, c) for k in range(4) for c in ("words", "docs")))
+    counts = map_batches(train, _word_counts, "entry long, side int, words long, docs long").groupBy("entry").agg(*(side(k, c) for k in range(4) for c in ("words", "docs")))
     counts = materialize(counts.where((F.col("docs1") + F.col("docs3") >= SUPPORT) | (F.col("entry") == 0)), "entries")
     all_ = counts.where("entry = 0").first()
     out = []
@@ -282,7 +284,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mode
             f = np.where((fold == 0)[:, None], one, other)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(f), pa.list_(pa.float64()))], ["doc_id", "y", "f"])
 
-    got = train.mapInArrow(run, "doc_id long, y int, f array<double>").orderBy("doc_id", "f").collect()
+    got = map_batches(train, run, "doc_id long, y int, f array<double>").orderBy("doc_id", "f").collect()
     x = np.array([r["f"] for r in got], float).reshape(-1, len(FEATURES))
     ids = np.array([r["doc_id"] for r in got], np.int64)
     half = bytewords.mix(ids.view(np.uint64)) % np.uint64(2) == 0
@@ -303,7 +305,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_R
                 n = len(score)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, n), b.column("held_out").slice(row, n), pa.array(score)], ["doc_id", "held_out", "score"])
 
-    scored = documents.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = map_batches(documents.select("doc_id", held_out().alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -319,4 +321,4 @@ def reject_toxic(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS
                 if kept.num_rows:
                     yield kept
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_batches(documents, run, documents.schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import components, materialize
+from quillgraph.llm.common import components, map_batches, materialize
 
 COSINE = 0.95
 
@@ -175,17 +175,17 @@ def near_vectors(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
     alone = [F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")]
     if dim < 1:
         return rows.select("vec_id", *alone)
-    keyed = materialize(rows.mapInArrow(_keyed(kind, dim), "vec_id long, key binary, vec binary"), "vectors")
+    keyed = materialize(map_batches(rows, _keyed(kind, dim), "vec_id long, key binary, vec binary"), "vectors")
     distinct = materialize(keyed.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("lo"), F.first("vec").alias("vec")), "distinct")
     n = distinct.count()
     picked = distinct.orderBy("key").limit(min(PIVOTS, max(1, -(-n // HOME)))).select("vec").collect()
     pivots = _unit(b"".join(bytes(r["vec"]) for r in picked), kind, dim)
     radius, parts = np.zeros(len(pivots)), np.ones(len(pivots), np.int64)
-    for r in distinct.select("vec").mapInArrow(_cells(kind, dim, pivots), "cell int, angle double").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect():
+    for r in map_batches(distinct.select("vec"), _cells(kind, dim, pivots), "cell int, angle double").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect():
         radius[r["cell"]], parts[r["cell"]] = r["r"], -(-r["n"] // HOME)
-    blocks = distinct.select("key", "n", "vec").mapInArrow(_routed(kind, dim, pivots, radius, parts, math.acos(least)), "group long, kind int, keys binary, counts binary, vecs binary")
+    blocks = map_batches(distinct.select("key", "n", "vec"), _routed(kind, dim, pivots, radius, parts, math.acos(least)), "group long, kind int, keys binary, counts binary, vecs binary")
     blocks = blocks.repartition("group").sortWithinPartitions("group", "kind")
-    found = materialize(blocks.mapInArrow(_joined(kind, dim, least), "a binary, b binary, n long"), "joined")
+    found = materialize(map_batches(blocks, _joined(kind, dim, least), "a binary, b binary, n long"), "joined")
     roots = materialize(components(found.where("b is not null").select("a", "b"), "vectors"), "roots")
     led = distinct.select("key", "lo").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = led.groupBy("root").agg(F.min("lo").alias("component_id"))
