@@ -185,3 +185,16 @@ def test_vectors_of_odd_tables(spark):
     got = sorted((str(r.vec_id), r.n_links, r.component_id) for r in vectors.near_vectors(_vectors(spark, rows, "double")).collect())
     assert got == [("1", 2, 1), ("1", 2, 1), ("2", 0, 2), ("None", 2, 1)]
     assert F is not None
+
+
+def test_near_lines_of_every_length_are_found(spark):
+    docs, want = [], 0
+    for n in (5, 6, 8, 12, 20, 30):
+        for i in range(20):
+            base = words(1000 * n + i, n)
+            copy = _edited(base, i, 1)
+            docs += [base, copy]
+            want += lines.within(base, copy, int(max(len(base), len(copy)) * 0.2 + 1e-9))
+    removed = {r.doc_id: r.removed for r in lines.line_report(_documents(spark, docs)).collect()}
+    assert want > 80 and sum(bool(removed[i]) for i in range(1, len(docs), 2)) >= 0.95 * want
+    assert not any(removed[i] for i in range(0, len(docs), 2))
