@@ -198,3 +198,10 @@ def test_near_lines_of_every_length_are_found(spark):
     removed = {r.doc_id: r.removed for r in lines.line_report(_documents(spark, docs)).collect()}
     assert want > 80 and sum(bool(removed[i]) for i in range(1, len(docs), 2)) >= 0.95 * want
     assert not any(removed[i] for i in range(0, len(docs), 2))
+
+
+def test_short_and_unspaced_lines(spark):
+    long = "これは句読点のない長い一行であり空白がどこにもないので一語とされていた"
+    docs = ["Contents\n---\nfirst", "contents!\n***\nsecond", "\n---\nthird", long, long[:10] + "々" + long[11:], "全角　空白", "全角 空白"]
+    removed = {r.doc_id: r.removed for r in lines.line_report(_documents(spark, docs)).collect()}
+    assert removed == {0: [], 1: [0], 2: [1], 3: [], 4: [0], 5: [], 6: [0]}
