@@ -493,7 +493,16 @@ text AS (SELECT position, 'text' AS how, release_id, artist_id FROM (SELECT posi
   FROM candidates c JOIN known k ON lower(trim(c.title)) = lower(trim(k.title)) AND lower(trim(c.artist)) = lower(trim(k.name)) WHERE position NOT IN (SELECT position FROM hint)) WHERE rn = 1)
 SELECT position, how, release_id, artist_id FROM (SELECT *, row_number() OVER (PARTITION BY artist_id ORDER BY position) AS rn FROM (SELECT * FROM hint UNION ALL SELECT * FROM text)) WHERE rn = 1""")
 def resolve_candidates(spark, sf_dir):
-    o, p = L.read(spark, sf_dir, "orders").where("o_orderkey <= 200"), L.read(spark, sf_dir, "part")
+    return _resolved(spark, sf_dir, L.read(spark, sf_dir, "orders").where("o_orderkey <= 200"))
+
+
+@query(ORACLES["resolve_candidates"].replace(" WHERE o_orderkey <= 200", ""))
+def resolve_all_candidates(spark, sf_dir):
+    return _resolved(spark, sf_dir, L.read(spark, sf_dir, "orders"))
+
+
+def _resolved(spark, sf_dir, o):
+    p = L.read(spark, sf_dir, "part")
     c = o.join(p, F.col("p_partkey") == F.col("o_orderkey") % 50 + 1).select(
         F.col("o_orderkey").alias("position"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).alias("release_hint"), F.upper("o_orderpriority").alias("title"), F.concat(F.lit(" "), "p_name").alias("artist")
     )
@@ -576,8 +585,16 @@ def evidence_registry(spark, sf_dir):
 @query(f"""WITH {L.SQL}, claimed AS (SELECT release_id, artist_id, credit_scope, CASE WHEN release_id % 10 = 0 THEN 'absent' ELSE role_text END AS role_text, track_index FROM credits WHERE release_id <= 500)
 SELECT * FROM claimed c WHERE NOT EXISTS (SELECT 1 FROM credits k WHERE k.release_id = c.release_id AND k.artist_id = c.artist_id AND k.credit_scope = c.credit_scope AND k.role_text IS NOT DISTINCT FROM c.role_text AND k.track_index IS NOT DISTINCT FROM c.track_index)""")
 def missing_evidence(spark, sf_dir):
-    c = _model(spark, sf_dir).credits
-    claimed = c.where("release_id <= 500").select("release_id", "artist_id", "credit_scope", F.when(F.col("release_id") % 10 == 0, "absent").otherwise(F.col("role_text")).alias("role_text"), "track_index")
+    return _missing(_model(spark, sf_dir).credits, F.col("release_id") <= 500)
+
+
+@query(ORACLES["missing_evidence"].replace(" WHERE release_id <= 500", ""))
+def missing_evidence_of_all(spark, sf_dir):
+    return _missing(_model(spark, sf_dir).credits, F.lit(True))
+
+
+def _missing(c, some):
+    claimed = c.where(some).select("release_id", "artist_id", "credit_scope", F.when(F.col("release_id") % 10 == 0, "absent").otherwise(F.col("role_text")).alias("role_text"), "track_index")
     return graph.missing_evidence(claimed, c)
 
 
