@@ -630,6 +630,12 @@ def scope_tiers(spark, sf_dir):
     return analyses.scope_tiers(m, m.credits.where("artist_id <= 200").select("artist_id").distinct(), LENS)
 
 
+@query(ORACLES["scope_tiers"].replace("BETWEEN 1 AND 200", "> 0"))
+def scope_tiers_of_all(spark, sf_dir):
+    m = _model(spark, sf_dir)
+    return analyses.scope_tiers(m, m.credits.select("artist_id").distinct(), LENS)
+
+
 @query(f"""WITH {L.SQL}, g AS (SELECT DISTINCT artist_id, related_artist_id AS group_id FROM artist_relations WHERE relation = 'member_of' UNION SELECT related_artist_id, artist_id FROM artist_relations WHERE relation = 'has_member')
 SELECT DISTINCT x.artist_id AS a, y.artist_id AS b FROM g x JOIN g y USING (group_id) WHERE x.artist_id < y.artist_id""")
 def family_exclusions(spark, sf_dir):
