@@ -265,6 +265,11 @@ def first_component(spark, sf_dir):
     return c.groupBy("component").agg(F.count(F.lit(1)).alias("artists")).orderBy("component").limit(1)
 
 
+@query()
+def component_labels(spark, sf_dir):
+    return graph.label_components(_stored(spark, sf_dir))
+
+
 @query()
 def label_communities(spark, sf_dir):
     return analyses.label_communities(_stored(spark, sf_dir))

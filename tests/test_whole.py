@@ -12,3 +12,31 @@ def test_no_order_or_release_is_left_out(spark):
 
 def test_scope_tiers_of_all_artists(spark):
     assert entry.queries()["scope_tiers_of_all"](spark, "/root/testdata/sf0.01").where("artist_id > 200").count() > 0
+
+
+def _union_find(links):
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in root}
+
+
+def test_component_labels_equal_union_find(spark):
+    links = [(r.artist_a_id, r.artist_b_id) for r in entry.queries()["credit_edges"](spark, SF).collect()]
+    got = {r.artist_id: r.component for r in entry.queries()["component_labels"](spark, SF).collect()}
+    assert got == _union_find(links)
+
+
+def test_labels_of_several_components(spark):
+    from quillgraph.operators import graph
+
+    links = [(1, 2), (2, 5), (7, 9), (9, 8), (20, 21)]
+    e = spark.createDataFrame([(*p, 1) for x in links for p in (x, x[::-1])], "artist_a_id long, artist_b_id long, release_id long")
+    assert {r.artist_id: r.component for r in graph.label_components(e).collect()} == _union_find(links)
