@@ -656,17 +656,17 @@ def event_props(spark, sf_dir):
 @query()
 def recommended_routes(spark, sf_dir):
     m, c = _catalog(spark, sf_dir)
-    albums = materialize(c.orderBy("master_id").limit(12), "albums")
+    albums = materialize(c, "albums")
     g = albumgraph.anchored_graph(m, _stored(spark, sf_dir), albums, LENS)
     a = albumgraph.anchors(albums).select("anchor_id")
     pairs = a.select(F.col("anchor_id").alias("start")).join(a.select(F.col("anchor_id").alias("end")), F.col("start") > F.col("end"))
-    return albumgraph.recommended_routes(g, materialize(pairs, "pairs"), formats.release_caveats(m, LENS), LENS, max_hops=1)
+    return albumgraph.recommended_routes(g, materialize(pairs, "pairs"), formats.release_caveats(m, LENS), LENS)
 
 
 @query()
 def connectivity_pairs(spark, sf_dir):
     m, c = _catalog(spark, sf_dir)
-    albums = [r.asDict() for r in c.orderBy("master_id").limit(12).collect()]
+    albums = [r.asDict() for r in c.orderBy("master_id").collect()]
     pairs = artifacts.connectivity_cohort(_stored(spark, sf_dir), albums)["pairs"]
     rows = [(p["album_a_id"], p["album_b_id"], p["status"], p.get("hop_count"), "-".join(str(h["release_id"]) for h in p["hops"])) for p in pairs]
     return spark.createDataFrame(rows, "album_a_id long, album_b_id long, status string, hop_count int, releases string")

@@ -1,5 +1,7 @@
 """Queries over whole tables, where the ones beside them take a part."""
 
+import pytest
+
 import __spark_entry__ as entry
 from tests.test_queries import SF
 
@@ -40,3 +42,28 @@ def test_labels_of_several_components(spark):
     links = [(1, 2), (2, 5), (7, 9), (9, 8), (20, 21)]
     e = spark.createDataFrame([(*p, 1) for x in links for p in (x, x[::-1])], "artist_a_id long, artist_b_id long, release_id long")
     assert {r.artist_id: r.component for r in graph.label_components(e).collect()} == _union_find(links)
+
+
+def test_routes_take_the_whole_catalog(spark, monkeypatch):
+    from quillgraph import queries as q
+
+    class Taken(Exception):
+        pass
+
+    def take(*args, **kwargs):
+        raise Taken(args, kwargs)
+
+    catalog = spark.createDataFrame([(i, 10 * i, 1000 + i) for i in range(1, 31)], "master_id long, main_release_id long, artist_id long")
+    monkeypatch.setattr(q, "_catalog", lambda *_: (None, catalog))
+    monkeypatch.setattr(q, "_stored", lambda *_: None)
+    monkeypatch.setattr(q.formats, "release_caveats", lambda *_: None)
+    monkeypatch.setattr(q.albumgraph, "anchored_graph", lambda *_: None)
+    monkeypatch.setattr(q.albumgraph, "anchors", lambda albums: albums.selectExpr("-master_id AS anchor_id"))
+    monkeypatch.setattr(q.albumgraph, "recommended_routes", take)
+    monkeypatch.setattr(q.artifacts, "connectivity_cohort", take)
+    with pytest.raises(Taken) as routes:
+        q.recommended_routes(spark, SF)
+    with pytest.raises(Taken) as pairs:
+        q.connectivity_pairs(spark, SF)
+    assert routes.value.args[0][1].count() == 30 * 29 // 2 and routes.value.args[1].get("max_hops", 4) == 4
+    assert len(pairs.value.args[0][1]) == 30
