@@ -73,14 +73,27 @@ def _text_shingles(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarra
         yield row, found, at
 
 
+def _once(hashes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, and where each text's begin."""
+    of = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    order = np.lexsort((hashes, of))
+    h, of = hashes[order], of[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    return h[first], np.concatenate([[0], np.cumsum(np.bincount(of[first], minlength=len(begins) - 1))])
+
+
 def _sketch(size: int, bands: int, rows: int):
+    """Bands of the weighted shingles, and of the distinct ones: texts that differ in repeats only meet by these."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, found, at in _text_shingles(b.column("text"), size):
                 n = len(at) - 1
-                hashes = band_hashes(signatures(found, at, bands * rows), bands, rows).astype(np.int64)
+                both = [band_hashes(signatures(*x, bands * rows), bands, rows) for x in ((found, at), _once(found, at))]
+                hashes = np.concatenate(both, axis=1).astype(np.int64)
                 has = np.diff(at) > 0
-                lists = pa.ListArray.from_arrays(np.arange(0, (n + 1) * bands, bands, dtype=np.int32), pa.array(hashes.ravel()), mask=pa.array(~has))
+                lists = pa.ListArray.from_arrays(np.arange(0, (n + 1) * 2 * bands, 2 * bands, dtype=np.int32), pa.array(hashes.ravel()), mask=pa.array(~has))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, n), b.column("node").slice(row, n), lists], ["doc_id", "node", "bands"])
 
     return run
@@ -229,7 +242,7 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, least: float = SI
     sketched = map_batches(documents.select("doc_id", text_key().alias("node"), F.lower("text").alias("text")), _sketch(size, bands, rows), "doc_id long, node binary, bands array<long>")
     sketched = materialize(sketched, "sketch")
     nodes = materialize(sketched.where("bands is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
-    members = nodes.select(F.explode("bands").alias("bucket"), "node")
+    members = nodes.select(F.explode(F.array_distinct("bands")).alias("bucket"), "node")
     hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("bucket", "hub")
     members = materialize(members.join(hubs, "bucket"), "buckets")
     sets = _shingle_sets(members.select("node").distinct(), nodes, documents, size)

@@ -205,3 +205,15 @@ def test_short_and_unspaced_lines(spark):
     docs = ["Contents\n---\nfirst", "contents!\n***\nsecond", "\n---\nthird", long, long[:10] + "々" + long[11:], "全角　空白", "全角 空白"]
     removed = {r.doc_id: r.removed for r in lines.line_report(_documents(spark, docs)).collect()}
     assert removed == {0: [], 1: [0], 2: [1], 3: [], 4: [0], 5: [], 6: [0]}
+
+
+def test_sketch_finds_texts_that_differ_in_repeats_only():
+    import pyarrow as pa
+
+    texts = []
+    for i in range(30):
+        w = words(500 + i, 200).split()
+        texts += [" ".join(w), " ".join(w + w[:60] * 12)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "node": [b""] * 60, "text": texts})
+    bands = [set(x) for b in minhash._sketch(5, 24, 6)(iter([batch])) for x in b.column("bands").to_pylist()]
+    assert all(bands[i] & bands[i + 1] for i in range(0, 60, 2))
