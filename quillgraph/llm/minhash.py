@@ -138,7 +138,7 @@ def text_key() -> Column:
 def _shingle_sets(wanted: DataFrame, nodes: DataFrame, documents: DataFrame, size: int) -> DataFrame:
     """node, shingles (sorted hashes) of the wanted text keys. Each text is fetched once, by the smallest doc_id that has it."""
     ids = materialize(wanted.join(nodes.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
-    texts = documents.select("doc_id", F.lower("text").alias("text"), text_key().alias("_quill_key")).join(small(ids), "doc_id").where("_quill_key = node")
+    texts = documents.select("doc_id", F.lower("text").alias("text"), text_key().alias("_quill_key")).join(small(ids.withColumnRenamed("doc_id", "_rep")), F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("_quill_key") == F.col("node")))
     sets = materialize(map_batches(texts.select("node", "text").dropDuplicates(["node"]), _sets(size), "node binary, shingles binary"), "sets")
     discard(ids)
     return sets
@@ -272,7 +272,8 @@ def keep_one(documents: DataFrame, **options) -> DataFrame:
     lost = materialize(classes.where("not kept").select("doc_id", F.col("node").alias("_quill_key")).distinct(), "lost")
     repeated = materialize(classes.where("kept and doc_id is not null").groupBy("doc_id", F.col("node").alias("_quill_key")).count().where("count > 1").drop("count"), "repeated")
     keyed = documents.withColumn("_quill_key", text_key())
-    left = keyed.join(small(lost), ["doc_id", "_quill_key"], "left_anti")
+    gone = small(lost.select(F.col("doc_id").alias("_quill_lost"), F.col("_quill_key").alias("_quill_lost_key")))
+    left = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_quill_lost")) & (F.col("_quill_key") == F.col("_quill_lost_key")), "left_anti")
     if repeated.limit(1).count():
         again = left.join(small(repeated), ["doc_id", "_quill_key"], "left_semi").dropDuplicates(["doc_id", "_quill_key"])
         left = left.join(small(repeated), ["doc_id", "_quill_key"], "left_anti").unionByName(again)

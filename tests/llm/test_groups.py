@@ -217,3 +217,11 @@ def test_sketch_finds_texts_that_differ_in_repeats_only():
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "node": [b""] * 60, "text": texts})
     bands = [set(x) for b in minhash._sketch(5, 24, 6)(iter([batch])) for x in b.column("bands").to_pylist()]
     assert all(bands[i] & bands[i + 1] for i in range(0, 60, 2))
+
+
+def test_copies_without_doc_id(spark):
+    base, other = words(900, 120), words(901, 120)
+    rows = [(1, base), (None, base), (None, _edited(base, 1, 1)), (None, other), (None, _edited(other, 2, 1)), (2, _edited(other, 3, 1))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCUMENTS)
+    assert sorted(r.doc_id or 0 for r in minhash.keep_one(docs).collect()) == [1, 2]
+    assert sum(len(r.removed) for r in lines.line_report(docs).collect()) == 4
