@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import lines, minhash, vectors
+from quillgraph.llm import common, lines, linesketch, minhash, vectors
 from tests.llm.conftest import DOCUMENTS, words
 
 
@@ -102,28 +102,50 @@ def test_edit_distance_bound():
                 b[r.randrange(len(b))] = r.choice("abcd")
         b = "".join(b) + "c" * r.randrange(3)
         m = r.randrange(7)
-        assert lines.within(a, b, m) == (distance(a, b) <= m)
-
-
-def test_lines_equal_brute_force(spark):
-    base = [words(i, 60) for i in range(12)]
-    docs = ["\n".join([base[i % 12], words(100 + i, 30), _edited(base[(i + 1) % 12], i, 1), "short line"]) for i in range(24)] + ["\n".join(base[:2]), "", "a b c d e\nA, b c D e!"]
-    occurrences = [(d, n, re.findall(r"[^\W_]+", x.lower())) for d, t in enumerate(docs) for n, x in enumerate(t.split("\n"))]
-    occurrences = [(d, n, w) for d, n, w in occurrences if len(w) >= lines.WORDS]
-    import pyarrow as pa
-
-    sims, texts = {}, {" ".join(w) for _, _, w in occurrences}
-    for b in lines._lines(1)(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "node": [b""] * len(texts), "text": sorted(texts)})])):
-        sims = dict(zip(sorted(texts), b.column("sim").to_pylist()))
-    keys = sorted(texts)
-    close = lambda x, y: bin((sims[x] ^ sims[y]) & (2**64 - 1)).count("1") <= lines.DISTANCE and lines.within(x, y, int(max(len(x), len(y)) * 0.2 + 1e-9))
-    group = _components(len(keys), [(i, j) for i in range(len(keys)) for j in range(i) if close(keys[i], keys[j])])
+        assert linesketch.within(a, b, m) == (distance(a, b) <= m)
+        if a and b:
+            x, y = sorted((a, b), key=len)
+            assert linesketch._few_edits(x, y, m) == linesketch._bit_parallel(x, y, m) == (distance(a, b) <= m)
+
+
+def _distance_at_most(a, b, m):
+    """Plain dynamic programming, without the code under test."""
+    if abs(len(a) - len(b)) > m:
+        return False
+    p = np.arange(len(b) + 1)
+    y = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    for i, x in enumerate(a, 1):
+        q = np.minimum(p[1:] + 1, p[:-1] + (y != ord(x)))
+        q = np.concatenate([[i], q]) - np.arange(len(b) + 1)
+        p = np.minimum.accumulate(q) + np.arange(len(b) + 1)
+        if p.min() > m:
+            return False
+    return p[-1] <= m
+
+
+def _alike(a, b):
+    return _distance_at_most(a, b, int(max(len(a), len(b)) * 0.2 + 1e-9))
+
+
+def _lines_by_brute_force(docs):
+    """Line numbers to remove of each text: all pairs of lines by edit similarity, groups by union-find."""
+    occurrences = [(d, n, " ".join(re.findall(r"[^\W_]+", x.lower()))) for d, t in enumerate(docs) for n, x in enumerate(t.split("\n"))]
+    occurrences = [o for o in occurrences if o[2]]
+    keys = sorted({o[2] for o in occurrences})
+    group = _components(len(keys), [(i, j) for i in range(len(keys)) for j in range(i) if _alike(keys[i], keys[j])])
     seen, want = set(), {d: [] for d in range(len(docs))}
     for d, n, w in occurrences:
-        g = group[keys.index(" ".join(w))]
+        g = group[keys.index(w)]
         if g in seen:
             want[d].append(n)
         seen.add(g)
+    return want
+
+
+def test_lines_equal_brute_force(spark):
+    base = [words(i, 60) for i in range(12)]
+    docs = ["\n".join([base[i % 12], words(100 + i, 30), _edited(base[(i + 1) % 12], i, 1), "short line", f"page {i}"]) for i in range(24)] + ["\n".join(base[:2]), "", "a b c d e\nA, b C D e!"]
+    want = _lines_by_brute_force(docs)
     got = {r.doc_id: r.removed for r in lines.line_report(_documents(spark, docs)).collect()}
     assert got == want and any(want.values())
     cleaned = {r.doc_id: r.text for r in lines.without_repeated_lines(_documents(spark, docs)).collect()}
@@ -132,12 +154,82 @@ def test_lines_equal_brute_force(spark):
         assert cleaned.get(d) == (left if not want[d] or re.search(r"\w", left) else None)
 
 
-@pytest.mark.parametrize("blocks", [5, 6, 7])
-def test_block_layouts_agree(spark, blocks):
-    base = words(1, 80)
-    docs = _documents(spark, [_edited(base, i, 1) for i in range(30)] + [words(i, 40) for i in range(50, 60)])
-    key = lambda df: sorted((r.doc_id, r.line) for r in df.collect())
-    assert key(lines.repeated_lines(docs, blocks=blocks)) == key(lines.repeated_lines(docs))
+@pytest.mark.parametrize("part, sparse", [(512, 8), (512, -1), (7, -1), (7, 8)])
+def test_dense_blocks_equal_brute_force(spark, monkeypatch, part, sparse):
+    """Lines far from the first of their block, in blocks compared as pairs, within one task, and part by part."""
+    monkeypatch.setattr(lines, "PART", part)
+    monkeypatch.setattr(lines, "SPARSE", sparse)
+    docs = [_edited(f"{words(1, 20)} {words(50 + g, 10)}", 100 * g + k, 1) for g in range(4) for k in range(9)]
+    want = _lines_by_brute_force(docs)
+    assert {r.doc_id: r.removed for r in lines.line_report(_documents(spark, docs)).collect()} == want and 0 < sum(not w for w in want.values()) < 12
+
+
+def test_components_with_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(common, "SPLIT_EDGES", 0)
+    monkeypatch.setattr(common, "HOT_SHARE", 0.05)
+    r = random.Random(1)
+    edges = [(0, i) for i in range(1, 120)] + [(r.randrange(200, 400), r.randrange(200, 400)) for _ in range(150)] + [(119, 500)]
+    root = _components(501, edges)
+    got = {x.node: x.root for x in common.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
+    nodes = {n for a, b in edges if a != b for n in (a, b)}
+    assert got == {n: root[n] for n in nodes}
+
+
+def _met(a, b):
+    """Shares of the like pairs (edit similarity 0.8, by plain dynamic programming) that share a block and pass the sketch."""
+    made = []
+    for texts in (a, b):
+        data = "\n".join(texts).encode()
+        _, _, has, _, text, begins = linesketch.normal(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        sims, of, blocks = linesketch.sketches(text, begins, has)
+        found = [set() for _ in texts]
+        for i, k in zip(of.tolist(), blocks.tolist()):
+            found[i].add(k)
+        made.append((sims, np.diff(begins), found))
+    (sa, za, fa), (sb, zb, fb) = made
+    ok = linesketch.near(sa, za, sb, zb, lines.SIMILARITY, lines.DISTANCE)
+    like = [i for i in range(len(a)) if a[i] != b[i] and _alike(a[i], b[i])]
+    return len(like), sum(bool(fa[i] & fb[i]) and bool(ok[i]) for i in like) / max(len(like), 1)
+
+
+@pytest.mark.parametrize("n", [3, 5, 8, 15, 30, 60, 200])
+def test_recall_by_length(n):
+    """At least 0.9 of the like lines of n words are found: one word replaced, one inserted, a tenth replaced, two letters changed."""
+    r = random.Random(n)
+    vocabulary = ["".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.choice([2, 3, 3, 4, 5, 6, 7, 9]))) for _ in range(600)]
+    base = [[vocabulary[int(600 * r.random() ** 2)] for _ in range(n)] for _ in range(150)]
+
+    def replaced(w, k):
+        w = list(w)
+        for i in r.sample(range(len(w)), k):
+            w[i] = r.choice(vocabulary)
+        return w
+
+    def inserted(w):
+        w = list(w)
+        w.insert(r.randrange(len(w) + 1), r.choice(vocabulary))
+        return w
+
+    def typed(w):
+        t = list(" ".join(w))
+        for i in r.sample([i for i, c in enumerate(t) if c != " "], 2):
+            t[i] = r.choice("xyz")
+        return "".join(t).split()
+
+    for kind, edit in (("replaced", lambda w: replaced(w, 1)), ("inserted", inserted), ("tenth", lambda w: replaced(w, max(1, n // 10))), ("letters", typed)):
+        like, found = _met([" ".join(w) for w in base], [" ".join(edit(w)) for w in base])
+        assert like >= 10 and found >= 0.9, (kind, like, found)
+
+
+def test_edit_distance_of_long_lines():
+    r = random.Random(5)
+    a = "".join(r.choice("abcdefgh ") for _ in range(20_000))
+    b = list(a)
+    for i in r.sample(range(len(b)), 300):
+        b[i] = "x"
+    b = "".join(b)
+    assert linesketch.within(a, b, 300) and linesketch.within(a, "y" + b, 301) and not linesketch.within(a, b, 250)
+    assert not linesketch.within(a, "".join(r.choice("abcdefgh ") for _ in range(20_000)), 4000)
 
 
 def test_lines_of_odd_tables(spark, odd, empty):
@@ -194,7 +286,7 @@ def test_near_lines_of_every_length_are_found(spark):
             base = words(1000 * n + i, n)
             copy = _edited(base, i, 1)
             docs += [base, copy]
-            want += lines.within(base, copy, int(max(len(base), len(copy)) * 0.2 + 1e-9))
+            want += _alike(base, copy)
     removed = {r.doc_id: r.removed for r in lines.line_report(_documents(spark, docs)).collect()}
     assert want > 80 and sum(bool(removed[i]) for i in range(1, len(docs), 2)) >= 0.95 * want
     assert not any(removed[i] for i in range(0, len(docs), 2))
