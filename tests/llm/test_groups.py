@@ -181,13 +181,13 @@ def _met(a, b):
     for texts in (a, b):
         data = "\n".join(texts).encode()
         _, _, has, _, text, begins = linesketch.normal(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-        sims, of, blocks = linesketch.sketches(text, begins, has)
+        *sketch, of, blocks = linesketch.sketches(text, begins, has)
         found = [set() for _ in texts]
         for i, k in zip(of.tolist(), blocks.tolist()):
             found[i].add(k)
-        made.append((sims, np.diff(begins), found))
-    (sa, za, fa), (sb, zb, fb) = made
-    ok = linesketch.near(sa, za, sb, zb, lines.SIMILARITY, lines.DISTANCE)
+        made.append(((*sketch, np.diff(begins)), found))
+    (sa, fa), (sb, fb) = made
+    ok = linesketch.near(sa, sb, lines.SIMILARITY, lines.DISTANCE)
     like = [i for i in range(len(a)) if a[i] != b[i] and _alike(a[i], b[i])]
     return len(like), sum(bool(fa[i] & fb[i]) and bool(ok[i]) for i in like) / max(len(like), 1)
 
