@@ -95,7 +95,7 @@ def test_edit_distance_bound():
 
     r = random.Random(3)
     for _ in range(1500):
-        a = "".join(r.choice("abc") for _ in range(r.randrange(12)))
+        a = "".join(r.choice("abc ") for _ in range(r.randrange(12)))
         b = list(a)
         for _ in range(r.randrange(4)):
             if b:
@@ -105,6 +105,7 @@ def test_edit_distance_bound():
         assert linesketch.within(a, b, m) == (distance(a, b) <= m)
         if a and b:
             x, y = sorted((a, b), key=len)
+            assert not linesketch._by_words(x, y, m) or distance(a, b) <= m
             assert linesketch._few_edits(x, y, m) == linesketch._bit_parallel(x, y, m) == (distance(a, b) <= m)
 
 
