@@ -42,6 +42,17 @@ def performer_credit(role: Column, policy: Policy) -> Column:
     return role.isNull() | F.exists(components(role), lambda x: ~among(x, policy.non_performer_roles))
 
 
+def only_graded_roles(role: Column, policy: Policy) -> Column:
+    """Every component is of the grading list; no role is none of them."""
+    return F.coalesce(F.forall(components(role), lambda x: among(x, policy.grading_roles)), F.lit(False))
+
+
+def behind_the_glass(role: Column, policy: Policy) -> Column:
+    """Fail-closed: any component is of production or engineering."""
+    words = [w for w, c in policy.role_categories.items() if c in ("production", "engineering")]
+    return F.coalesce(F.exists(components(role), lambda x: among(x, words)), F.lit(False))
+
+
 def edge_ineligible(role: Column, policy: Policy) -> Column:
     """A quotation, or only components that are no collaboration. No role is eligible."""
     lowered = F.lower(role)

@@ -119,3 +119,135 @@ def membership_failures(membership: dict, catalog: dict) -> list[str]:
     have, want = Counter(a["album_id"] for a in membership.get("albums", [])), {a["id"] for a in catalog.get("albums", [])}
     out = [f"album {i} is missing" for i in sorted(want - have.keys(), key=str)] + [f"album {i} is unknown" for i in sorted(have.keys() - want, key=str)] + [f"album {i} comes twice" for i, n in have.items() if n > 1]
     return out + [f"artists of {a['album_id']} must be sorted and distinct" for a in membership.get("albums", []) if a["artist_ids"] != sorted(set(a["artist_ids"]))]
+
+
+def version_failures(value: dict, catalog: dict, where: str = "catalog_version") -> list[str]:
+    """An artifact belongs to exactly one generation of the catalog."""
+    return [] if value.get(where) == catalog.get("catalog_version") else [f"{where} is not the catalog's"]
+
+
+def challenge_failures(artifact: dict, catalog: dict | None = None) -> list[str]:
+    """Albums with a main release, and paths whose hops name published releases and artists only."""
+    if not isinstance(artifact, dict):
+        return ["a challenge must be an object"]
+    out = key_failures(artifact, ("schema_version", "provenance", "albums", "artists", "paths", "releases"))
+    origin = artifact.get("provenance") or {}
+    out += [f"provenance.{k} is required" for k in ("source", "license", "snapshot_date", "generated_by") if not origin.get(k)]
+    if catalog is not None and origin.get("catalog_version") is not None:
+        out += version_failures(origin, catalog)
+    artists, releases = ({x.get(k) for x in artifact.get(n, [])} for n, k in (("artists", "artist_id"), ("releases", "release_id")))
+    out += [f"album {a.get('id')} has no main release" for a in artifact.get("albums", []) if not _positive(a.get("main_release_id"))]
+    for p in artifact.get("paths", []):
+        for h in p.get("hops", []):
+            if h.get("release_id") not in releases:
+                out.append(f"path {p.get('id')}: release {h.get('release_id')} is not published")
+            out += [f"path {p.get('id')}: artist {h.get(k)} is not published" for k in ("artist_a_id", "artist_b_id") if h.get(k) not in artists]
+    return out + forbidden_failures(artifact)
+
+
+def _positive(x: Any) -> bool:
+    return isinstance(x, int) and not isinstance(x, bool) and x > 0
+
+
+def album_art_version(entries: list[dict]) -> str:
+    """Follows from the albums and their two addresses, in any order."""
+    return content_hash(sorted(([e.get("album_id"), e.get("uri150"), e.get("uri")] for e in entries), key=str))
+
+
+def album_art_failures(registry: dict, catalog: dict, hosts: Iterable[str] = ("i.discogs.com",)) -> list[str]:
+    """Covers of known albums, each once, by https from approved hosts; an empty registry is sound."""
+    entries, known = registry.get("albums", []), {a.get("id") for a in catalog.get("albums", [])}
+    out = version_failures(registry, catalog)
+    if registry.get("art_version") != album_art_version(entries):
+        out.append("art_version does not match its content")
+    out += [f"album {i} comes twice" for i, n in Counter(e.get("album_id") for e in entries).items() if n > 1]
+    for e in entries:
+        at = f"album {e.get('album_id')}"
+        if e.get("album_id") not in known:
+            out.append(f"{at} is unknown")
+        if not _positive(e.get("main_release_id")):
+            out.append(f"{at} has no main release")
+        for k in ("uri150", "uri"):
+            scheme, _, rest = str(e.get(k) or "").partition("://")
+            if scheme.lower() != "https" or rest.split("/")[0].split(":")[0].lower() not in set(hosts) or "/" not in rest:
+                out.append(f"{at}: {k} is not an address of an approved host")
+        out += [f"{at}: {k} must be an integer" for k in ("width", "height") if k in e and not isinstance(e[k], int)]
+    return out + forbidden_failures(registry, ("token=", "/home/", "data/private"), ())
+
+
+def contributor_index_failures(index: dict, catalog: dict, categories: Iterable[str], limits: tuple[int, int, int] = (5, 10, 20)) -> list[str]:
+    """Contributors in order of distinct ids; known categories and albums; lists within their limits; neighbours that are not
+    the contributor; a next step that is a listed neighbour without a category in common."""
+    rows, albums, categories = index.get("contributors", []), {a.get("id") for a in catalog.get("albums", [])}, set(categories)
+    ids = [r.get("artist_id") for r in rows]
+    out = version_failures(index, catalog)
+    if ids != sorted(set(ids)):
+        out.append("contributors must be sorted and distinct")
+    kinds = {r.get("artist_id"): set(r.get("role_categories", [])) for r in rows}
+    for r in rows:
+        at = f"contributor {r.get('artist_id')}"
+        if not r.get("name"):
+            out.append(f"{at} has no name")
+        if not r.get("role_categories") or set(r["role_categories"]) - categories:
+            out.append(f"{at} has no or unknown role categories")
+        out += [f"{at}: album {a} is unknown" for a in r.get("albums", []) if a not in albums]
+        near = r.get("neighboring_contributor_ids", [])
+        out += [f"{at}: {k} is longer than {n}" for k, n in zip(("role_text_examples", "evidence", "neighboring_contributor_ids"), limits, strict=True) if len(r.get(k, [])) > n]
+        if r.get("artist_id") in near or len(near) != len(set(near)):
+            out.append(f"{at}: neighbours must be distinct others")
+        if r.get("connection_count", 0) < len(near):
+            out.append(f"{at}: more neighbours than connections")
+        step = r.get("interesting_next_step")
+        if step is not None and (step.get("artist_id") not in near or kinds.get(r.get("artist_id"), set()) & kinds.get(step.get("artist_id"), set())):
+            out.append(f"{at}: the next step is no neighbour of other categories")
+    return out + forbidden_failures(index, ("worked with", "collaborated with", "influenced"))
+
+
+def record_route_failures(universe: dict, artifact: dict) -> list[str]:
+    """Routes between known albums and artists, in a row from end to end, each hop with evidence, each pair of ends once."""
+    albums, artists = ({x.get(k) for x in universe.get(n, [])} for n, k in (("albums", "id"), ("artists", "artist_id")))
+    out, pairs, ids = [], Counter(), Counter()
+    for r in artifact.get("rounds", []):
+        at, hops = f"round {r.get('id')}", r.get("hops", [])
+        ids[r.get("id")] += 1
+        out += [f"{at}: album {r.get(k)} is unknown" for k in ("from_album_id", "to_album_id") if r.get(k) not in albums]
+        out += [f"{at}: artist {h.get(k)} is unknown" for h in hops for k in ("artist_a_id", "artist_b_id") if h.get(k) not in artists]
+        if not hops or r.get("hop_count") != len(hops):
+            out.append(f"{at}: hop_count is not the number of hops")
+        if any(x.get("artist_b_id") != y.get("artist_a_id") for x, y in pairwise(hops)):
+            out.append(f"{at}: hops are not in a row")
+        out += [f"{at}: a hop has no evidence" for h in hops if not _positive(h.get("release_id"))]
+        if hops:
+            pairs[frozenset((hops[0].get("artist_a_id"), hops[-1].get("artist_b_id")))] += 1
+    return out + [f"round {i} comes twice" for i, n in ids.items() if n > 1] + [f"the ends {sorted(p, key=str)} come twice" for p, n in pairs.items() if n > 1]
+
+
+def extracted_failures(artifact: dict) -> list[str]:
+    """Candidates extracted from a list page: closed keys, a known confidence, ids that are positive or null."""
+    out = key_failures(artifact, ("schema_version", "source", "candidates"))
+    for i, c in enumerate(artifact.get("candidates", [])):
+        out += [f"candidate {i}: {f}" for f in key_failures(c, ("rank", "artist", "title", "year", "master_id", "release_id", "confidence"))]
+        if c.get("confidence") not in ("high", "medium", "low"):
+            out.append(f"candidate {i}: unknown confidence")
+        out += [f"candidate {i}: {k} must be positive or null" for k in ("master_id", "release_id") if c.get(k) is not None and not _positive(c[k])]
+    return out + forbidden_failures(artifact, ("/home/", "data/private"), ())
+
+
+def resolved_failures(artifact: dict) -> list[str]:
+    """Resolved albums: each artist and master once, with a positive main release; positions are those of the candidates."""
+    rows = artifact.get("resolved", [])
+    out = [f"{k} {v} comes twice" for k in ("artist_id", "master_id") for v, n in Counter(r.get(k) for r in rows).items() if n > 1]
+    out += [f"album {r.get('master_id')} has no main release" for r in rows if not _positive(r.get("release_id"))]
+    both = {r.get("position") for r in rows} & {r.get("position") for r in artifact.get("unresolved", [])}
+    return out + [f"candidate {p} is resolved and unresolved" for p in sorted(both, key=str)]
+
+
+def all_failures(artifacts: dict[str, Any], categories: Iterable[str]) -> dict[str, list[str]]:
+    """Failures of a whole publication by artifact; every name is there, with none for a sound one, and a missing one is a failure."""
+    catalog = artifacts.get("catalog") or {}
+    checks = {
+        "catalog": lambda a: catalog_failures(a), "album_art": lambda a: album_art_failures(a, catalog), "challenge": lambda a: challenge_failures(a, catalog),
+        "record_routes": lambda a: record_route_failures(a.get("universe", {}), a.get("rounds", {})), "contributor_index": lambda a: contributor_index_failures(a, catalog, categories),
+        "compact_graph": lambda a: compact_graph_failures(a), "membership": lambda a: membership_failures(a, catalog), "registry": lambda a: registry_failures(a), "connectivity": lambda a: connectivity_failures(a),
+    }
+    return {name: check(artifacts[name]) if isinstance(artifacts.get(name), dict) else [f"{name} is missing"] for name, check in checks.items()}

@@ -130,19 +130,27 @@ def missing_evidence(claimed: DataFrame, credits: DataFrame) -> DataFrame:
 
 
 def hop_quality(model: Model, edges: DataFrame, policy: Policy) -> DataFrame:
-    """How good the evidence of each undirected edge is: whether both are billed, whether both have a performer's credit,
-    whether they share a track, and a strength from these."""
+    """How good the evidence of each undirected edge is.
+
+    strength: co_billed_release_artists (both billed), performer_credit (one billed, or with a role that is not only of the
+    grading list), else non_performer_only. scope: same_recording (a track in common, or one billed and the other on a track),
+    else release_scope_credit. placeholder: whether either end is a known placeholder.
+    """
     e = edges.where("artist_a_id < artist_b_id")
-    c = model.credits.where(R.is_playable()).groupBy("release_id", "artist_id").agg(
+    c = model.credits.where("artist_id IS NOT NULL").groupBy("release_id", "artist_id").agg(
         F.max(F.col("credit_scope") == "release_artist").alias("billed"),
-        F.max(R.performer_credit(F.col("role_text"), policy)).alias("performs"),
+        F.max(~R.only_graded_roles(F.col("role_text"), policy)).alias("performs"),
         F.collect_set("track_index").alias("tracks"),
     )
     a, b = (c.select("release_id", F.col("artist_id").alias(f"artist_{n}_id"), F.col("billed").alias(f"billed_{n}"), F.col("performs").alias(f"performs_{n}"), F.col("tracks").alias(f"tracks_{n}")) for n in "ab")
     j = e.join(a, ["release_id", "artist_a_id"]).join(b, ["release_id", "artist_b_id"])
-    both, billed, shared = F.col("performs_a") & F.col("performs_b"), F.col("billed_a") & F.col("billed_b"), F.arrays_overlap("tracks_a", "tracks_b")
-    strength = F.when(both & (billed | shared), "strong").when(both | billed | shared, "medium").otherwise("weak")
-    return j.select("artist_a_id", "artist_b_id", "release_id", billed.alias("both_billed"), both.alias("both_perform"), F.coalesce(shared, F.lit(False)).alias("share_track"), strength.alias("strength"))
+    either = F.col("billed_a") | F.col("billed_b") | F.col("performs_a") | F.col("performs_b")
+    strength = F.when(F.col("billed_a") & F.col("billed_b"), "co_billed_release_artists").when(either, "performer_credit").otherwise("non_performer_only")
+    on_track = lambda n: F.size(f"tracks_{n}") > 0
+    same = F.coalesce(F.arrays_overlap("tracks_a", "tracks_b"), F.lit(False)) | (F.col("billed_a") & on_track("b")) | (F.col("billed_b") & on_track("a"))
+    known = [*policy.placeholder_ids, *policy.flagged_ids]
+    odd = (F.col("artist_a_id").isin(known) | F.col("artist_b_id").isin(known)) if known else F.lit(False)
+    return j.select("artist_a_id", "artist_b_id", "release_id", strength.alias("strength"), F.when(same, "same_recording").otherwise("release_scope_credit").alias("scope"), odd.alias("placeholder"))
 
 
 def ego_network(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -13,6 +13,19 @@ NON_PERFORMER_ROLES = (
     "composed by", "lyrics by", "music by", "words by", "engineer", "producer", "co-producer", "design", "design concept",
     "photography by",
 )
+# The roles that grade a hop as one without a performer; they must be these for right results.
+GRADING_ROLES = (
+    "written-by", "written by", "mastered by", "remastered by", "mixed by", "recorded by", "lacquer cut by", "arranged by",
+    "liner notes", "composed by", "lyrics by", "music by", "words by", "engineer", "producer", "co-producer", "design",
+    "design concept", "photography by",
+)
+# Fixed value: names that mark a placeholder; it must be this for right results.
+PLACEHOLDER_NAME_PATTERN = (
+    r"^(various|various artists|unknown|unknown artist|no artist|not on label|"
+    r"traditional|trad\.?|anonymous|uncredited|n/a|artist unknown|no artist listed)"
+    r"( \([0-9]+\))?$"
+)
+# They must be these for right results.
 COMPOSITION_ROLES = ("written-by", "written by", "composed by", "music by", "lyrics by", "words by", "songwriter", "song by", "libretto by")
 PACKAGING_ROLES = (
     "design", "design concept", "art direction", "artwork", "artwork by", "layout", "illustration", "photography by",
@@ -89,6 +102,7 @@ class Policy:
     """What counts as a performer, a collaboration, a studio release; and the limits of the edge rules."""
 
     non_performer_roles: tuple[str, ...] = NON_PERFORMER_ROLES
+    grading_roles: tuple[str, ...] = GRADING_ROLES
     non_collaborative_roles: tuple[str, ...] = COMPOSITION_ROLES + PACKAGING_ROLES + REWORK_ROLES
     performer_categories: dict[str, str] = field(default_factory=lambda: {role: name for name, roles in PERFORMER_CATEGORIES.items() for role in roles})
     role_categories: dict[str, str] = field(default_factory=role_categories)
@@ -103,6 +117,8 @@ class Policy:
     non_studio_genres: tuple[str, ...] = NON_STUDIO_GENRES
     non_studio_styles: tuple[str, ...] = NON_STUDIO_STYLES
     placeholder_ids: tuple[int, ...] = VARIOUS_IDS
+    flagged_ids: tuple[int, ...] = ()  # placeholders that may make edges, and are pointed out
+    placeholder_name_pattern: str = PLACEHOLDER_NAME_PATTERN
     placeholder_modulus: int | None = None  # test tables: ids divisible by it are placeholders
     max_artists_per_release: int = 50
     compilation_threshold: int = 5
@@ -115,6 +131,7 @@ class Policy:
 #: The policy of the test tables, in whose vocabulary part types and brands stand for roles and formats.
 LENS = Policy(
     non_performer_roles=("promo", "economy", "standard"),
+    grading_roles=("promo", "economy", "standard", "medium"),
     non_collaborative_roles=("promo", "economy"),
     performer_categories={"small": "guitar", "medium": "bass", "large": "drums"},
     role_categories={"small": "strings", "medium": "strings", "large": "percussion_keys", "promo": "composition", "economy": "packaging_business"},
@@ -126,5 +143,7 @@ LENS = Policy(
     non_studio_genres=("machinery",),
     non_studio_styles=(),
     placeholder_ids=(),
+    flagged_ids=(7, 11, 13),
+    placeholder_name_pattern=r"^(cold|blue) (rod|widget)$",
     placeholder_modulus=97,
 )

@@ -214,11 +214,12 @@ def pair_status(spark, sf_dir):
 
 
 @query(f"""WITH {_EDGES}, facts AS (
-  SELECT release_id, artist_id, max(credit_scope = 'release_artist') AS billed, max({_PERFORMER_CREDIT}) AS performs, list(DISTINCT track_index) FILTER (WHERE track_index IS NOT NULL) AS tracks FROM credits GROUP BY 1, 2),
-j AS (SELECT e.*, a.billed AND b.billed AS bb, a.performs AND b.performs AS pp, coalesce(list_has_any(a.tracks, b.tracks), FALSE) AS st
-  FROM edges e JOIN facts a ON a.release_id = e.release_id AND a.artist_id = artist_a_id JOIN facts b ON b.release_id = e.release_id AND b.artist_id = artist_b_id WHERE artist_a_id < artist_b_id)
-SELECT artist_a_id, artist_b_id, release_id, bb AS both_billed, pp AS both_perform, st AS share_track,
-       CASE WHEN pp AND (bb OR st) THEN 'strong' WHEN pp OR bb OR st THEN 'medium' ELSE 'weak' END AS strength FROM j""")
+  SELECT release_id, artist_id, max(credit_scope = 'release_artist') AS billed, max(role_text IS NULL OR {_other_than(LENS.grading_roles)}) AS performs, list(DISTINCT track_index) FILTER (WHERE track_index IS NOT NULL) AS tracks FROM credits GROUP BY 1, 2)
+SELECT e.artist_a_id, e.artist_b_id, e.release_id,
+  CASE WHEN a.billed AND b.billed THEN 'co_billed_release_artists' WHEN a.billed OR b.billed OR a.performs OR b.performs THEN 'performer_credit' ELSE 'non_performer_only' END AS strength,
+  CASE WHEN coalesce(list_has_any(a.tracks, b.tracks), FALSE) OR (a.billed AND b.tracks IS NOT NULL) OR (b.billed AND a.tracks IS NOT NULL) THEN 'same_recording' ELSE 'release_scope_credit' END AS scope,
+  artist_a_id IN {LENS.flagged_ids} OR artist_b_id IN {LENS.flagged_ids} AS placeholder
+FROM edges e JOIN facts a ON a.release_id = e.release_id AND a.artist_id = artist_a_id JOIN facts b ON b.release_id = e.release_id AND b.artist_id = artist_b_id WHERE artist_a_id < artist_b_id""")
 def hop_quality(spark, sf_dir):
     m = _model(spark, sf_dir)
     return graph.hop_quality(m, edges.credit_edges(m, LENS), LENS)
@@ -257,15 +258,10 @@ def ranked_routes(spark, sf_dir):
     return routes.ranked_routes(e, pairs, 2)
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, low AS (SELECT min(artist_id) AS m FROM degree),
-seen(artist_id) AS (SELECT m FROM low UNION SELECT e.artist_b_id FROM seen s JOIN edges e ON e.artist_a_id = s.artist_id)
-SELECT m AS component, count(*) AS artists FROM seen, low GROUP BY 1""")
-def first_component(spark, sf_dir):
-    c = graph.label_components(_stored(spark, sf_dir))
-    return c.groupBy("component").agg(F.count(F.lit(1)).alias("artists")).orderBy("component").limit(1)
-
-
-@query()
+@query(f"""WITH RECURSIVE {_EDGES}, labels(artist_id, component) USING KEY (artist_id) AS (
+  SELECT artist_id, artist_id FROM degree
+  UNION SELECT e.artist_b_id, min(l.component) FROM labels l JOIN edges e ON e.artist_a_id = l.artist_id JOIN recurring.labels r ON r.artist_id = e.artist_b_id WHERE l.component < r.component GROUP BY 1)
+SELECT artist_id, component FROM labels""")
 def component_labels(spark, sf_dir):
     return graph.label_components(_stored(spark, sf_dir))
 
@@ -486,7 +482,7 @@ def review_candidates(spark, sf_dir):
     return rank.review_candidates(m, s, c, LENS)
 
 
-_CANDIDATES = "candidates AS (SELECT o_orderkey AS position, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS release_hint, upper(o_orderpriority) AS title, ' ' || p_name AS artist FROM orders JOIN part ON p_partkey = o_orderkey % 50 + 1 WHERE o_orderkey <= 200)"
+_CANDIDATES = "candidates AS (SELECT o_orderkey AS position, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS release_hint, upper(o_orderpriority) AS title, ' ' || p_name AS artist FROM orders JOIN part ON p_partkey = o_orderkey % 50 + 1)"
 
 
 @query(f"""WITH {L.SQL}, {_CANDIDATES},
@@ -498,11 +494,6 @@ text AS (SELECT position, 'text' AS how, release_id, artist_id FROM (SELECT posi
   FROM candidates c JOIN known k ON lower(trim(c.title)) = lower(trim(k.title)) AND lower(trim(c.artist)) = lower(trim(k.name)) WHERE position NOT IN (SELECT position FROM hint)) WHERE rn = 1)
 SELECT position, how, release_id, artist_id FROM (SELECT *, row_number() OVER (PARTITION BY artist_id ORDER BY position) AS rn FROM (SELECT * FROM hint UNION ALL SELECT * FROM text)) WHERE rn = 1""")
 def resolve_candidates(spark, sf_dir):
-    return _resolved(spark, sf_dir, L.read(spark, sf_dir, "orders").where("o_orderkey <= 200"))
-
-
-@query(ORACLES["resolve_candidates"].replace(" WHERE o_orderkey <= 200", ""))
-def resolve_all_candidates(spark, sf_dir):
     return _resolved(spark, sf_dir, L.read(spark, sf_dir, "orders"))
 
 
@@ -571,14 +562,6 @@ def album_membership(spark, sf_dir):
     return rounds.album_membership(m, c, LENS)
 
 
-@query(f"""WITH {_EDGES}, near AS (SELECT artist_a_id AS artist_id, array_to_string(list(artist_b_id ORDER BY release_id, artist_b_id), ',') AS neighbours FROM (SELECT *, row_number() OVER (PARTITION BY artist_a_id ORDER BY release_id, artist_b_id) AS rn FROM edges) WHERE rn <= 20 GROUP BY 1),
-r AS (SELECT artist_id, role_text, count(*) AS n, row_number() OVER (PARTITION BY artist_id ORDER BY count(*) DESC, role_text) AS rn FROM credits WHERE role_text IS NOT NULL GROUP BY 1, 2)
-SELECT near.artist_id, neighbours, roles FROM near LEFT JOIN (SELECT artist_id, array_to_string(list(role_text ORDER BY n DESC, role_text), '|') AS roles FROM r WHERE rn <= 5 GROUP BY 1) x USING (artist_id)""")
-def contributor_index(spark, sf_dir):
-    m = _model(spark, sf_dir)
-    return rank.contributor_index(edges.credit_edges(m, LENS), m, LENS)
-
-
 @query(f"""WITH {_EDGES}, f AS (SELECT release_id, {_CAVEATS} FROM release_formats GROUP BY 1)
 SELECT r.release_id, r.title, CAST(substr(r.released, 1, 4) AS INTEGER) AS year, r.master_id, u.edges, CAST(coalesce(t0 * 4 + t1 * 2 + t2, 0) AS INTEGER) AS caveats, CAST(CASE WHEN t0 = 1 THEN 3 WHEN t1 = 1 THEN 2 WHEN t2 = 1 THEN 1 ELSE 0 END AS INTEGER) AS severity
 FROM (SELECT release_id, count(*) AS edges FROM edges GROUP BY 1) u JOIN releases r USING (release_id) LEFT JOIN f USING (release_id)""")
@@ -587,19 +570,11 @@ def evidence_registry(spark, sf_dir):
     return rank.evidence_registry(edges.credit_edges(m, LENS), m, LENS, formats.release_caveats(m, LENS))
 
 
-@query(f"""WITH {L.SQL}, claimed AS (SELECT release_id, artist_id, credit_scope, CASE WHEN release_id % 10 = 0 THEN 'absent' ELSE role_text END AS role_text, track_index FROM credits WHERE release_id <= 500)
+@query(f"""WITH {L.SQL}, claimed AS (SELECT release_id, artist_id, credit_scope, CASE WHEN release_id % 10 = 0 THEN 'absent' ELSE role_text END AS role_text, track_index FROM credits)
 SELECT * FROM claimed c WHERE NOT EXISTS (SELECT 1 FROM credits k WHERE k.release_id = c.release_id AND k.artist_id = c.artist_id AND k.credit_scope = c.credit_scope AND k.role_text IS NOT DISTINCT FROM c.role_text AND k.track_index IS NOT DISTINCT FROM c.track_index)""")
 def missing_evidence(spark, sf_dir):
-    return _missing(_model(spark, sf_dir).credits, F.col("release_id") <= 500)
-
-
-@query(ORACLES["missing_evidence"].replace(" WHERE release_id <= 500", ""))
-def missing_evidence_of_all(spark, sf_dir):
-    return _missing(_model(spark, sf_dir).credits, F.lit(True))
-
-
-def _missing(c, some):
-    claimed = c.where(some).select("release_id", "artist_id", "credit_scope", F.when(F.col("release_id") % 10 == 0, "absent").otherwise(F.col("role_text")).alias("role_text"), "track_index")
+    c = _model(spark, sf_dir).credits
+    claimed = c.select("release_id", "artist_id", "credit_scope", F.when(F.col("release_id") % 10 == 0, "absent").otherwise(F.col("role_text")).alias("role_text"), "track_index")
     return graph.missing_evidence(claimed, c)
 
 
@@ -628,15 +603,9 @@ def era_turnover(spark, sf_dir):
     return analyses.era_turnover(_model(spark, sf_dir), LENS)
 
 
-@query(f"""WITH {L.SQL}, a AS (SELECT DISTINCT artist_id, release_id FROM credits WHERE artist_id BETWEEN 1 AND 200), b AS (SELECT release_id, count(DISTINCT artist_id) AS n, min(artist_id) AS o FROM credits WHERE credit_scope = 'release_artist' AND artist_id > 0 GROUP BY 1)
+@query(f"""WITH {L.SQL}, a AS (SELECT DISTINCT artist_id, release_id FROM credits WHERE artist_id > 0), b AS (SELECT release_id, count(DISTINCT artist_id) AS n, min(artist_id) AS o FROM credits WHERE credit_scope = 'release_artist' AND artist_id > 0 GROUP BY 1)
 SELECT artist_id, count(*) AS tier_a, count(*) FILTER (WHERE n = 1 AND o = artist_id) AS tier_b, count(*) FILTER (WHERE n = 1 AND o = artist_id AND master_is_main_release) AS tier_c FROM a LEFT JOIN b USING (release_id) JOIN releases USING (release_id) GROUP BY 1""")
 def scope_tiers(spark, sf_dir):
-    m = _model(spark, sf_dir)
-    return analyses.scope_tiers(m, m.credits.where("artist_id <= 200").select("artist_id").distinct(), LENS)
-
-
-@query(ORACLES["scope_tiers"].replace("BETWEEN 1 AND 200", "> 0"))
-def scope_tiers_of_all(spark, sf_dir):
     m = _model(spark, sf_dir)
     return analyses.scope_tiers(m, m.credits.select("artist_id").distinct(), LENS)
 

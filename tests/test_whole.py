@@ -1,4 +1,4 @@
-"""Queries over whole tables, where the ones beside them take a part."""
+"""Queries take whole tables."""
 
 import pytest
 
@@ -8,12 +8,12 @@ from tests.test_queries import SF
 
 def test_no_order_or_release_is_left_out(spark):
     q = entry.queries()
-    assert q["missing_evidence_of_all"](spark, SF).where("release_id > 500").count() > 0
-    assert q["resolve_all_candidates"](spark, SF).where("position > 200").count() > 0
+    assert q["missing_evidence"](spark, SF).where("release_id > 500").count() > 0
+    assert q["resolve_candidates"](spark, SF).where("position > 200").count() > 0
 
 
 def test_scope_tiers_of_all_artists(spark):
-    assert entry.queries()["scope_tiers_of_all"](spark, "/root/testdata/sf0.01").where("artist_id > 200").count() > 0
+    assert entry.queries()["scope_tiers"](spark, "/root/testdata/sf0.01").where("artist_id > 200").count() > 0
 
 
 def _union_find(links):
