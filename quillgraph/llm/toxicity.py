@@ -269,12 +269,13 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mode
     """A model from labelled documents that are not held out: at most `rows` of them, those of the smallest hashes.
 
     The learned lexicon is counted on the executors; to be fitted on honest densities, each fold's features use the lexicon
-    of the other fold. The driver gets at most ENTRIES entries and one row of features per document.
+    of the other fold. The driver gets at most ENTRIES entries and one row of features for each label; of texts that share a
+    labelled doc_id, the first in order counts.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     known = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labelled")
     train = documents.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    train = materialize(train.select("doc_id", "y", "text"), "train")
+    train = materialize(train.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "train")  # one row for each labelled id
     lexicons = _lexicons(train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +296,8 @@ def score_documents(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_R
     """doc_id, held_out, score (probability of label 1) and predicted (1 if score >= 0.5) of every whole text.
 
     Only texts are inputs of a score. Null and empty texts have features of zero and get the score of a text without any
-    signal. Without enough labels of both kinds every score is the share of label 1. Repeated rows score alike.
+    signal. Without enough labels of both kinds every score is the share of label 1. Repeated rows score alike, further columns
+    are not looked at, and an empty table gives no rows.
     """
     model = fit(documents, labels, rows)
 
@@ -311,7 +313,8 @@ def score_documents(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_R
 
 def reject_toxic(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least: float = 0.5) -> DataFrame:
     """documents without those that score at least `least`; all columns as they were. Scoring runs inside one pass, so that
-    no text is shuffled."""
+    no text is shuffled. Null and empty texts have no signal and stay (unless that scores `least` too), repeated rows are
+    judged alike, and an empty table stays empty."""
     model = fit(documents, labels, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

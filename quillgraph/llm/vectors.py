@@ -15,11 +15,13 @@ from quillgraph.llm.common import components, map_batches, materialize
 
 COSINE = 0.95
 
-#: Vectors that a group of one cell is home to; a group's memory is bounded by this, its candidates stream past.
-HOME = 4096
+#: Least vectors that a group of one cell is home to, and most bytes of them in double precision; in between, there are as many
+#: groups as cores. A group's memory is bounded by the bytes, its candidates stream past. Fewer groups get fewer copies of each
+#: candidate: where no cell can be ruled out, each vector goes to each group.
+HOME, HOME_BYTES = 4096, 1 << 24
 
-#: Most pivots; the driver holds them and each task gets them (8 KB for 1,024 vectors of one dimension).
-PIVOTS = 1024
+#: Most pivots; the driver holds them and each task gets them (16 KB for 2,048 vectors of one dimension). Beyond, cells are cut into parts.
+PIVOTS = 2048
 
 _SLACK = 1e-9  # radians, against rounding
 
@@ -71,6 +73,11 @@ def _cells(kind: str, dim: int, pivots: np.ndarray):
     return run
 
 
+def _home(n: int, dim: int, cores: int) -> int:
+    """Vectors that a group is home to."""
+    return max(HOME, min(HOME_BYTES // (8 * dim), -(-n // cores)))
+
+
 def _routed(kind: str, dim: int, pivots: np.ndarray, radius: np.ndarray, parts: np.ndarray, reach: float):
     """Blocks of vectors for the groups (cell, part): homes (kind 0), and candidates (kind 1) that the triangle inequality cannot rule out."""
     first = np.concatenate([[0], np.cumsum(parts)])
@@ -84,7 +91,8 @@ def _routed(kind: str, dim: int, pivots: np.ndarray, radius: np.ndarray, parts:
             home = angles.argmin(1)
             nearest = angles[np.arange(len(home)), home]
             part = keys[:, :4].copy().view(np.uint32).ravel() % parts[home]
-            out = []
+            out: list[tuple] = []
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 
             def block(group: int, what: int, rows: np.ndarray) -> None:
                 out.append((int(group), what, keys[rows].tobytes(), counts[rows].astype(np.int64).tobytes(), raw[rows].tobytes()))
@@ -97,10 +105,11 @@ def _routed(kind: str, dim: int, pivots: np.ndarray, radius: np.ndarray, parts:
                         block(first[c] + p, 0, mine)
                     for at in range(0, len(near), 2048):
                         block(first[c] + p, 1, near[at : at + 2048])
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            for at in range(0, len(out), 64):
-                types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 64], t) for c, t in zip(cols, types, strict=True)], ["group", "kind", "keys", "counts", "vecs"])
+                    if len(out) >= 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["group", "kind", "keys", "counts", "vecs"])
+                        out.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["group", "kind", "keys", "counts", "vecs"])
 
     return run
 
@@ -136,9 +145,10 @@ def _joined(kind: str, dim: int, least: float):
                     links, label = np.zeros(len(keys)), np.arange(len(keys))
                 counts, other = np.frombuffer(ns.as_py(), np.int64).astype(np.float64), _unit(vs, kind, dim)
                 edges = []
-                for at in range(0, len(other), 512):
-                    hit = homes @ other[at : at + 512].T >= least
-                    links += hit.astype(np.float64) @ counts[at : at + 512]
+                width = max(16, min(512, (1 << 21) // len(homes)))  # 16 MB of products at once
+                for at in range(0, len(other), width):
+                    hit = homes @ other[at : at + width].T >= least
+                    links += hit.astype(np.float64) @ counts[at : at + width]
                     for j in np.flatnonzero(hit.sum(0) > 0):
                         found = np.flatnonzero(hit[:, j])
                         if keys[found[0]] != names[at + j]:
@@ -164,7 +174,8 @@ def near_vectors(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
     cell is joined by itself in double precision; it counts links and passes on only as many of them as connect what it
     has connected. Equal vectors are joined once, with their number. Vectors of fewer components count as padded with
     zeros. Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Rows without
-    vec_id count as links of others and never name a component that has an id.
+    vec_id count as links of others and never name a component that has an id. Repeated rows count as links of each other and
+    get equal results, further columns are not looked at, and an empty table gives none.
     """
     kind = "f4" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "f8"
     e = F.col("embedding") if kind == "f4" else F.col("embedding").cast("array<double>")
@@ -178,11 +189,12 @@ def near_vectors(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
     keyed = materialize(map_batches(rows, _keyed(kind, dim), "vec_id long, key binary, vec binary"), "vectors")
     distinct = materialize(keyed.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("lo"), F.first("vec").alias("vec")), "distinct")
     n = distinct.count()
-    picked = distinct.orderBy("key").limit(min(PIVOTS, max(1, -(-n // HOME)))).select("vec").collect()
+    home = _home(n, dim, max(embeddings.sparkSession.sparkContext.defaultParallelism, 1))
+    picked = distinct.orderBy("key").limit(min(PIVOTS, max(1, -(-n // home)))).select("vec").collect()
     pivots = _unit(b"".join(bytes(r["vec"]) for r in picked), kind, dim)
     radius, parts = np.zeros(len(pivots)), np.ones(len(pivots), np.int64)
     for r in map_batches(distinct.select("vec"), _cells(kind, dim, pivots), "cell int, angle double").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect():
-        radius[r["cell"]], parts[r["cell"]] = r["r"], -(-r["n"] // HOME)
+        radius[r["cell"]], parts[r["cell"]] = r["r"], -(-r["n"] // home)
     blocks = map_batches(distinct.select("key", "n", "vec"), _routed(kind, dim, pivots, radius, parts, math.acos(least)), "group long, kind int, keys binary, counts binary, vecs binary")
     blocks = blocks.repartition("group").sortWithinPartitions("group", "kind")
     found = materialize(map_batches(blocks, _joined(kind, dim, least), "a binary, b binary, n long"), "joined")

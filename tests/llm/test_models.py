@@ -105,3 +105,113 @@ def test_pipeline_stages(spark, tmp_path, labelled):
         assert frame.columns == columns
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and not {r.doc_id for r in out} & set(range(5001, 5040)) and all(r.n_tokens == len(r.ids) for r in out)
+
+
+def _stump_gain(g, h, left, l2=2.0):
+    part = lambda m: g[m].sum() ** 2 / (h[m].sum() + l2)
+    return part(left) + part(~left) - g.sum() ** 2 / (h.sum() + l2)
+
+
+def test_first_split_is_the_best_of_all():
+    """The first split of the first tree against every split of every feature, and the scores against walks through the trees."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x = r.integers(0, 9, (300, 5)).astype(float)
+    y = ((x[:, 2] > 4) ^ (r.random(300) < 0.1)).astype(float)
+    model = toxicity.Boosted(x, y)
+    q = np.full(300, min(max(y.mean(), 1e-3), 1 - 1e-3))
+    g, h = y - q, q * (1 - q)
+    best = max(_stump_gain(g, h, x[:, k] <= c) for k in range(5) for c in range(9) if 5 <= (x[:, k] <= c).sum() <= 295)
+    (k, at), codes = model.trees[0][0][0][0], model._codes(x)
+    assert abs(_stump_gain(g, h, codes[:, k] <= at) - best) < 1e-9 and k == 2
+
+    def walk(row):
+        z = model.base
+        for split, value in model.trees:
+            node = 0
+            for choice in split:
+                k, at = choice[node]
+                node = 2 * node + int(np.searchsorted(model.cuts[k], row[k], "left") > at)
+            z += model.rate * value[node]
+        return z
+
+    assert np.allclose(model(x[:40]), [walk(row) for row in x[:40]])
+
+
+def test_features_by_plain_python():
+    """Each feature of ASCII texts, counted word by word and character by character."""
+    import numpy as np
+    import pyarrow as pa
+
+    lexicon, second = {w for ws in toxicity.LEXICON.values() for w in ws.split()}, set(toxicity.SECOND_PERSON.split())
+    learned = toxicity._hashes("grumble nothing")
+    texts = ["You IDIOT!!! read this, you fool. Nothing else here at all...", "An 1d1ot and a sh!t text; grumble grumble, yes?", "plain words only", "", "a1b2 idiot " + "far " * 9 + "you"]
+    (_, got), = toxicity.features(pa.array(texts), learned)
+    for text, f in zip(texts, got):
+        words = re.findall(r"[a-z0-9]+", text.lower())
+        n, hit, you = len(words), [w in lexicon for w in words], [w in second for w in words]
+        taught = [w in ("grumble", "nothing") for w in words]
+        runs = re.findall(r"[A-Za-z0-9@$!*#]+", text)
+        odd = [w for w in runs if w[0].isalpha() and any(not c.isalpha() for c in w[:-1])]
+        plain = lambda w: "".join(toxicity._DISGUISES.get(c, c) for c in w.lower())
+        near = sum((hit[i] or taught[i]) and any(you[max(0, i - 5) : i + 6]) for i in range(n))
+        letters, size = max(1, sum(c.isalpha() for c in text)), max(1, len(text))
+        want = dict.fromkeys(toxicity.FEATURES, 0.0) if not n else {
+            "lexicon": 100 * sum(hit) / n, "lexicon_count": np.log1p(sum(hit)), "disguised": 100 * sum(plain(w) in lexicon for w in odd) / n, "near_you": 100 * near / n, "you": 100 * sum(you) / n,
+            "capitals": sum(c.isupper() for c in text) / letters, "shouts": 100 * sum(c in "!?" for c in text) / size, "marks": sum(not c.isalnum() and not c.isspace() for c in text) / size,
+            "obfuscated": 100 * len(odd) / n, "words": np.log1p(n), "mean_length": letters / n, "learned": 100 * sum(taught) / n, "learned_count": np.log1p(sum(taught)),
+        }
+        assert np.allclose(f, [want[k] for k in toxicity.FEATURES]), (text, dict(zip(toxicity.FEATURES, f)), want)
+
+
+def test_repeated_labelled_ids_count_once(spark, labelled):
+    docs, labels = labelled
+    again = docs.unionByName(docs.where("doc_id < 50").withColumn("text", toxicity.F.concat(toxicity.F.lit("zz "), "text")))
+    one, two = ({r.doc_id: r.score for r in toxicity.score_documents(d, labels).where("doc_id >= 50").collect()} for d in (docs, again))
+    assert one == two
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, labelled, odd, empty):
+    _, labels = labelled
+    for docs in (odd, empty):
+        for name, stage in corpus_pipeline.STAGES[1:-1]:
+            docs = stage(spark, docs, None)
+            assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"], name
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, None)
+        assert out.count() == docs.count()
+
+
+def test_flight_against_a_plain_cube():
+    """Each move of the flight lies in the null space that SVD gives, totals stay as they are until the landing, and over many
+    runs a unit's mean is its probability."""
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    sizes, p = r.integers(1, 500, 40), r.uniform(0.05, 0.95, 40)
+    moves = []
+
+    class Watched(mixing._Flight):
+        def _move(self, direction):
+            before = [(u[0], u[1]) for u in self.units]
+            super()._move(direction)
+            moves.append((before, [u[1] for u in self.units]))
+
+    taken = np.zeros(40)
+    runs = 400
+    for seed in range(runs):
+        flight, done = Watched(), []
+        for i in range(40):
+            done += flight.add([int(sizes[i]), float(p[i]), (seed * 40 + i) * 7919 + 1, i])
+        assert {u[1] for u in done} <= {0.0, 1.0} and len(flight.units) <= 2
+        every = done + flight.units
+        assert abs(sum(u[0] * u[1] for u in every) - sizes @ p) < 1e-5 and abs(sum(u[1] for u in every) - p.sum()) < 1e-6
+        for u in every:  # before the landing, which chooses the nearest totals, not at random
+            taken[u[3]] += u[1]
+        assert all(u[1] in (0.0, 1.0) for u in flight.land([]))
+    for before, after in moves[:500]:
+        a = np.array([[b[0] for b in before], [1.0] * len(before)])
+        null = np.linalg.svd(a)[2][np.linalg.matrix_rank(a) :]
+        step = np.array(after) - np.array([b[1] for b in before])
+        assert np.allclose(null.T @ (null @ step), step, atol=1e-7) and any(min(x, 1 - x) < 1e-9 for x in after)
+    assert np.abs(taken / runs - p).max() < 0.11
