@@ -67,6 +67,16 @@ def family_pairs(groups: DataFrame) -> DataFrame:
     return x.join(y, "group_id").where("a < b").select("a", "b").distinct()
 
 
+def family_excluded(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """pairs (a, b) with `excluded`: the same artist, one a member of the other, or both members of a group. Memberships are
+    joined to the pairs at hand; pairs within a group are not made."""
+    member = groups.groupBy("artist_id").agg(F.collect_set("group_id").alias("g"))
+    of = lambda n: member.select(F.col("artist_id").alias(n), F.col("g").alias(f"g_{n}"))
+    j = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    hit = (F.col("a") == F.col("b")) | F.array_contains("g_a", F.col("b")) | F.array_contains("g_b", F.col("a")) | F.arrays_overlap("g_a", "g_b")
+    return j.select("a", "b", F.coalesce(hit, F.lit(False)).alias("excluded"))
+
+
 def degree_distribution(edges: DataFrame) -> DataFrame:
     """Number of artists of each degree."""
     from quillgraph.operators.edges import degrees

@@ -62,3 +62,31 @@ def explorer_view(edges: DataFrame, seeds: DataFrame, k: int = 24) -> DataFrame:
     near = near.join(d.select(F.col("artist_id").alias("neighbor_id"), "degree"), "neighbor_id").join(d.select("artist_id", F.col("degree").alias("_all")), "artist_id")
     top = window_rank(near, ["artist_id"], [F.desc("degree"), "neighbor_id"], k)
     return top.select("artist_id", "neighbor_id", "degree", (F.col("_all") > k).alias("truncated"))
+
+
+def csr_path(graph: dict, start: int, end: int, max_hops: int, max_nodes: int | None = None, without: frozenset[tuple[int, int]] = frozenset()) -> tuple[str, list[int]]:
+    """A shortest path in a compact graph held in memory (node_ids, offsets, neighbors), lowest neighbours first: ("found", path),
+    ("none", []) if there is proven to be none within the hops, or ("inconclusive", []) if more than max_nodes would have been
+    looked at. Edges in `without` (lower id first) are not used."""
+    place = {n: i for i, n in enumerate(graph["node_ids"])}
+    if start not in place or end not in place:
+        return "none", []
+    ids, offsets, near = graph["node_ids"], graph["offsets"], graph["neighbors"]
+    parent, frontier = {place[start]: None}, [place[start]]
+    for _ in range(max_hops + 1):
+        if place[end] in parent:
+            path, at = [], place[end]
+            while at is not None:
+                path.append(ids[at])
+                at = parent[at]
+            return "found", path[::-1]
+        after = []
+        for u in frontier:
+            for v in near[offsets[u] : offsets[u + 1]]:
+                if v not in parent and (min(ids[u], ids[v]), max(ids[u], ids[v])) not in without:
+                    if max_nodes is not None and len(parent) >= max_nodes:
+                        return "inconclusive", []
+                    parent[v] = u
+                    after.append(v)
+        frontier = after
+    return "none", []

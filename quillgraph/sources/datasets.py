@@ -80,9 +80,16 @@ def write_dataset(tables: dict[str, DataFrame], root: str, snapshot_date: str, o
                 files.append({"table": name, "path": str(p.relative_to(staged)), "bytes": p.stat().st_size, "sha256": sha256_file(p)})
         manifest = {"schema_version": SCHEMA_VERSION, "snapshot_date": snapshot_date, "rows": rows, "files": files} | facts
         write_json(manifest, str(staged / "manifest.json"))
+        aside = Path(root) / f".snapshot={snapshot_date}.{uuid.uuid4().hex}.old"
         if final.exists():
-            shutil.rmtree(final)
-        os.replace(staged, final)
+            os.replace(final, aside)  # put back below if the new one cannot take its place
+        try:
+            os.replace(staged, final)
+        except OSError:
+            if aside.exists():
+                os.replace(aside, final)
+            raise
+        shutil.rmtree(aside, ignore_errors=True)
     finally:
         shutil.rmtree(staged, ignore_errors=True)
     return manifest
@@ -142,3 +149,30 @@ def artifact_diff(old, new, at: str = "$") -> list[tuple[str, str]]:
         out = [(at, f"length {len(old)} -> {len(new)}")] if len(old) != len(new) else []
         return out + [d for i, (a, b) in enumerate(zip(old, new)) for d in artifact_diff(a, b, f"{at}[{i}]")]
     return [] if old == new else [(at, "value")]
+
+
+def artifact_report(old: dict, new: dict) -> dict:
+    """What changed between two artifacts: whether they are identical, the fields of versions that differ, and all differences."""
+    if content_hash(old) == content_hash(new):
+        return {"identical": True, "versions": {}, "differences": []}
+    named = sorted(k for k in old.keys() | new.keys() if k.endswith("_version"))
+    versions = {k: (old.get(k), new.get(k)) for k in named if old.get(k) != new.get(k)}
+    return {"identical": False, "versions": versions, "differences": artifact_diff(old, new)}
+
+
+def dump_manifest(snapshot: str, base: str, kinds: tuple[str, ...] = ("artists", "labels", "masters", "releases")) -> list[dict]:
+    """Where the dumps of a snapshot (YYYYMMDD) lie: kind, file name and address under the base."""
+    if not re.fullmatch(r"\d{8}", snapshot):
+        raise ValueError(f"not a snapshot: {snapshot}")
+    names = {k: f"discogs_{snapshot}_{k}.xml.gz" for k in kinds}
+    return [{"kind": k, "file": n, "url": f"{base.rstrip('/')}/{snapshot[:4]}/{n}"} for k, n in names.items()]
+
+
+def publish_run(staged: str, completed: str) -> list[dict]:
+    """Moves a finished run into place by one rename and describes its files; a run that is there already is never replaced."""
+    final = Path(completed)
+    if final.exists():
+        raise FileExistsError(final)
+    final.parent.mkdir(parents=True, exist_ok=True)
+    os.replace(staged, final)
+    return [{"path": str(p.relative_to(final)), "bytes": p.stat().st_size, "sha256": sha256_file(p)} for p in sorted(final.rglob("*")) if p.is_file()]

@@ -21,8 +21,8 @@ SCHEMAS = {
 
 _ARTIST = "struct<id:string,name:string,anv:string,join:string,role:string,tracks:string>"
 _TRACK = "position:array<string>,title:array<string>,duration:array<string>,artists:struct<artist:array<{a}>>,extraartists:struct<artist:array<{a}>>".format(a=_ARTIST)
-#: Sub-tracks are read to this depth; deeper ones are reported by `too_deep`.
-DEPTH = 3
+#: Sub-tracks are read to this depth; a release with deeper ones is an error, so that no track is lost unseen.
+DEPTH = 5
 
 
 def _track(depth: int) -> str:
@@ -78,11 +78,7 @@ def read_release_dump(spark: SparkSession, path: str, snapshot_date: str, source
         positive(F.col("master_id._VALUE")).alias("master_id"), F.coalesce(F.lower("master_id._is_main_release") == "true", F.lit(False)).alias("master_is_main_release"),
         _first("data_quality").alias("data_quality"), F.lit(source_url).alias("source_url"),
     )
-    f = raw.select("release_id", F.posexplode("formats.format").alias("format_index", "f"))
-    formats = f.select(
-        date, "release_id", "format_index", clean(F.col("f._name")).alias("format_name"), positive(F.col("f._qty")).cast("int").alias("quantity"), clean(F.col("f._text")).alias("format_text"),
-        F.coalesce(F.array_compact(F.transform("f.descriptions.description", clean)), F.array().cast("array<string>")).alias("descriptions"),
-    )
+    formats = _formats(raw, snapshot_date)
     flat = raw.select("release_id", "artists", "extraartists", flat_tracks(F.col("tracklist.track")).alias("tracks"))
     t = flat.select("release_id", F.posexplode("tracks").alias("track_index", "t"), F.transform("tracks", lambda x: x["path"]).alias("_paths"))
     above = F.regexp_extract("t.path", r"^(.*)\.[0-9]+$", 1)
@@ -107,6 +103,23 @@ def read_release_dump(spark: SparkSession, path: str, snapshot_date: str, source
     return {"releases": releases, "tracks": tracks, "credits": credits, "release_formats": formats}
 
 
+def read_release_formats(spark: SparkSession, path: str, snapshot_date: str, release_ids: DataFrame | None = None) -> DataFrame:
+    """The formats of a release dump alone (of these release_ids): a scan that parses no other element."""
+    schema = "_id string, formats struct<format:array<struct<_name:string,_qty:string,_text:string,descriptions:struct<description:array<string>>>>>"
+    raw = spark.read.format("xml").option("rowTag", "release").schema(schema).load(path).withColumn("release_id", positive(F.col("_id"))).where("release_id IS NOT NULL")
+    if release_ids is not None:
+        raw = raw.join(release_ids.select("release_id").distinct(), "release_id", "left_semi")
+    return _formats(raw, snapshot_date)
+
+
+def _formats(raw: DataFrame, snapshot_date: str) -> DataFrame:
+    f = raw.select("release_id", F.posexplode("formats.format").alias("format_index", "f"))
+    return f.select(
+        F.lit(snapshot_date).alias("snapshot_date"), "release_id", "format_index", clean(F.col("f._name")).alias("format_name"), positive(F.col("f._qty")).cast("int").alias("quantity"), clean(F.col("f._text")).alias("format_text"),
+        F.coalesce(F.array_compact(F.transform("f.descriptions.description", clean)), F.array().cast("array<string>")).alias("descriptions"),
+    )
+
+
 def flat_tracks(tracks: Column, prefix: Column | None = None, depth: int = DEPTH) -> Column:
     """Tracks and their sub-tracks in pre-order: path (`0`, `0.1`, ...), position, title, duration, artists, extra."""
 
@@ -114,7 +127,10 @@ def flat_tracks(tracks: Column, prefix: Column | None = None, depth: int = DEPTH
         path = i.cast("string") if prefix is None else F.concat(prefix, F.lit("."), i.cast("string"))
         first = lambda c: clean(F.get(t[c], F.lit(0)))
         own = F.array(F.struct(path.alias("path"), first("position").alias("position"), first("title").alias("title"), first("duration").alias("duration"), t["artists"]["artist"].alias("artists"), t["extraartists"]["artist"].alias("extra")))
-        return own if depth <= 1 else F.concat(own, F.coalesce(flat_tracks(t["sub_tracks"]["track"], path, depth - 1), F.slice(own, 1, 0)))
+        if depth <= 1:
+            deeper = F.coalesce(clean(t["sub_tracks"]) != "", F.lit(False))
+            return F.when(deeper, F.raise_error(F.lit(f"sub-tracks are nested deeper than {DEPTH} levels"))).otherwise(own)
+        return F.concat(own, F.coalesce(flat_tracks(t["sub_tracks"]["track"], path, depth - 1), F.slice(own, 1, 0)))
 
     return F.flatten(F.transform(tracks, one))
 
@@ -206,3 +222,11 @@ def manifest_files(path: str, table: str) -> list[str]:
     with open(path, encoding="utf-8") as f:
         m = json.load(f)
     return [x["path"] for x in m["files"] if x["table"] == table]
+
+
+def random_credits(spark: SparkSession, releases: int, artists: int, per_release: int = 11, seed: int = 1) -> DataFrame:
+    """A random co-credit table (release_id, artist_id): each release names `per_release` artists drawn with a seed, the first of
+    them billed. Rows that draw an artist twice count once."""
+    slot = spark.range(releases * per_release)
+    drawn = slot.select((F.col("id") / per_release).cast("long").alias("release_id"), (F.col("id") % per_release).alias("slot"), (F.rand(seed) * artists).cast("long").alias("artist_id"))
+    return drawn.groupBy("release_id", "artist_id").agg(F.when(F.min("slot") == 0, "release_artist").otherwise("release_credit").alias("credit_scope"))

@@ -97,3 +97,53 @@ def test_selection_and_schedule():
     assert len(selection.schedule_failures(more, candidates)) >= 3
     assert selection.betweenness([(1, 2), (2, 3), (3, 4)], 2) == [(2, 2.0), (3, 2.0)]
     assert len(selection.stratified_pairs({i: i for i in range(30)}, 8)) == 8
+
+
+def test_deep_tracks_and_formats_only(spark, tmp_path):
+    nest = lambda d: "<track><title>x</title>" + (f"<sub_tracks>{nest(d - 1)}</sub_tracks>" if d else "") + "</track>"
+    dump = lambda d: f'<releases><release id="1"><title>t</title><formats><format name="LP" qty="1"/></formats><tracklist>{nest(d)}</tracklist></release></releases>'
+    (tmp_path / "ok.xml").write_text(dump(4))
+    (tmp_path / "deep.xml").write_text(dump(5))
+    assert [r.track_path for r in tables.read_release_dump(spark, str(tmp_path / "ok.xml"), "d", "u")["tracks"].orderBy("track_index").collect()] == ["0", "0.0", "0.0.0", "0.0.0.0", "0.0.0.0.0"]
+    with pytest.raises(Exception, match="deeper"):
+        tables.read_release_dump(spark, str(tmp_path / "deep.xml"), "d", "u")["tracks"].collect()
+    some = spark.createDataFrame([(1,)], "release_id long")
+    assert [r.format_name for r in tables.read_release_formats(spark, str(tmp_path / "deep.xml"), "d", some).collect()] == ["LP"]
+    assert tables.read_release_formats(spark, str(tmp_path / "ok.xml"), "d", some.where("release_id > 1")).count() == 0
+
+
+def test_cards():
+    card = lambda t, a, y, link="": f'<div class="x release-block-info"><h3 class="release-block-title"><a href="{link}">{t}</a></h3><br><span class="release-block-artist">{a}</span><span class="release-block-year">{y}</span></div>'
+    got = html.candidates(card("Blue", "Ann", "(1971)", "/release/9-blue") + card("Red", "", "1972") + card("Green", "Cid", ""))
+    assert [(c["rank"], c["artist"], c["title"], c["year"], c["release_hint"], c["confidence"]) for c in got] == [(1, "Ann", "Blue", 1971, 9, "high"), (2, "Cid", "Green", None, None, "low")]
+
+
+def test_runs_reports_and_manifests(spark, tmp_path):
+    (tmp_path / "staged").mkdir()
+    (tmp_path / "staged" / "a.json").write_text("{}")
+    assert [f["path"] for f in datasets.publish_run(str(tmp_path / "staged"), str(tmp_path / "done" / "run"))] == ["a.json"]
+    with pytest.raises(FileExistsError):
+        datasets.publish_run(str(tmp_path / "other"), str(tmp_path / "done" / "run"))
+    assert [m["kind"] for m in datasets.dump_manifest("20260601", "https://example.org/data/")] == ["artists", "labels", "masters", "releases"]
+    with pytest.raises(ValueError):
+        datasets.dump_manifest("2026-06", "x")
+    assert datasets.artifact_report({"a": 1}, {"a": 1})["identical"]
+    changed = datasets.artifact_report({"a_version": "x", "n": 1}, {"a_version": "y", "n": 1})
+    assert changed["versions"] == {"a_version": ("x", "y")} and changed["differences"] == [("$.a_version", "value")]
+    df = spark.range(5).selectExpr("id AS release_id")
+    for _ in range(2):
+        datasets.write_dataset({"releases": df}, str(tmp_path), "2026-01-02", overwrite=True)
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith(".snap")] == []
+    r = tables.random_credits(spark, 20, 50, 4)
+    assert r.select("release_id").distinct().count() == 20 and r.where("credit_scope = 'release_artist'").count() == 20
+
+
+def test_paths_in_compact_graphs(spark):
+    from quillgraph.operators import analyses, routes
+
+    g = {"node_ids": [1, 2, 3, 4, 9], "offsets": [0, 2, 4, 6, 8, 8], "neighbors": [1, 2, 0, 3, 0, 3, 1, 2]}
+    assert routes.csr_path(g, 1, 4, 3) == ("found", [1, 2, 4]) and routes.csr_path(g, 1, 4, 3, without=frozenset({(1, 2)})) == ("found", [1, 3, 4])
+    assert routes.csr_path(g, 1, 9, 4) == ("none", []) and routes.csr_path(g, 1, 4, 1) == ("none", []) and routes.csr_path(g, 1, 4, 3, max_nodes=2) == ("inconclusive", [])
+    groups = spark.createDataFrame([(1, 100), (2, 100), (3, 4)], "artist_id long, group_id long")
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (5, 5), (1, 3)], "a long, b long")
+    assert {(r.a, r.b): r.excluded for r in analyses.family_excluded(pairs, groups).collect()} == {(1, 2): True, (3, 4): True, (5, 5): True, (1, 3): False}
