@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import roles as R
 from quillgraph.operators.edges import degrees
-from quillgraph.operators.routes import routes
+from quillgraph.operators.routes import distances_to, routes
 from quillgraph.plans.lens import Model
 from quillgraph.policies import Policy
 from quillgraph.sources.scratch import materialize
@@ -46,13 +46,26 @@ def anchored_graph(model: Model, edges: DataFrame, albums: DataFrame, policy: Po
     return near.select(*out.columns).unionByName(out).unionByName(back)
 
 
+def _judged(found: DataFrame, depth: int, edges: DataFrame, degree: DataFrame, severities: DataFrame, policy: Policy) -> DataFrame:
+    """Routes of one depth with the worst caveat and the hops without a performer's role between artists, and the highest degree."""
+    found = materialize(found.withColumn("depth", F.lit(depth)), "routes")
+    keys = ["start", "end", "path"]
+    hop = found.select(*keys, F.explode(F.sequence(F.lit(2), F.lit(depth - 1))).alias("i")) if depth > 2 else found.select(*keys, F.lit(0).alias("i")).where("false")
+    hop = hop.select(*keys, F.try_element_at("path", F.col("i")).alias("artist_a_id"), F.try_element_at("path", F.col("i") + 1).alias("artist_b_id"))
+    facts = hop.join(edges, ["artist_a_id", "artist_b_id"]).withColumn("release_id", F.col("e.release_id")).join(severities, "release_id", "left")
+    performs = R.performer_role(F.col("e.role_a"), policy) | R.performer_role(F.col("e.role_b"), policy)
+    facts = facts.groupBy(*keys).agg(F.max(F.coalesce("severity", F.lit(0))).alias("severity"), F.count_if(~performs).alias("weak_hops"))
+    hubs = found.select(*keys, F.explode("path").alias("artist_id")).where("artist_id > 0").join(degree, "artist_id", "left").groupBy(*keys).agg(F.max(F.coalesce("degree", F.lit(0))).alias("hub_degree"))
+    return found.join(facts, keys, "left").join(hubs, keys).select(*keys, "depth", F.coalesce("severity", F.lit(0)).alias("severity"), "hub_degree", F.coalesce("weak_hops", F.lit(0)).alias("weak_hops"))
+
+
 def recommended_routes(graph: DataFrame, pairs: DataFrame, severities: DataFrame, policy: Policy, max_hops: int = 4, allowed: Column | None = None) -> DataFrame:
     """For pairs (start, end) of anchors the best route: anchor_a, anchor_b, hops between artists, path, severity, hub_degree,
     weak_hops, longer.
 
     All routes of the shortest length are ranked: worst evidence caveat, highest degree on the way, hops without a
     performer's role, then the path. Routes of one hop more take over only where they avoid a caveat that every shortest one
-    has. `allowed` filters edges by role_a and role_b; anchor edges always pass.
+    has. Routes are listed depth by depth, for pairs that are not done only: each pair at two depths at most. `allowed` filters edges by role_a and role_b; anchor edges always pass.
     """
     if allowed is not None:
         graph = graph.where((F.col("artist_a_id") < 0) | (F.col("artist_b_id") < 0) | allowed)
@@ -60,24 +73,21 @@ def recommended_routes(graph: DataFrame, pairs: DataFrame, severities: DataFrame
     edges = graph.groupBy("artist_a_id", "artist_b_id").agg(F.min(F.struct("release_id", "role_a", "role_b")).alias("e"))
     inner = edges.where("artist_a_id > 0 AND artist_b_id > 0")
     degree = degrees(inner)
-    found = None
+    severities = materialize(severities.select("release_id", "severity"), "severities")
+    left = materialize(distances_to(edges, pairs.select(F.col("end").alias("artist_id")).distinct(), max_hops + 2), "left")
+    open_, ranked = pairs.select("start", "end"), None
     for depth in range(2, max_hops + 3):
-        at = routes(edges, pairs, depth).where(~F.exists(F.slice("path", 2, depth - 1), lambda x: x < 0)).withColumn("depth", F.lit(depth))
-        found = at if found is None else found.unionByName(at)
-    found = materialize(found, "routes")
-    shortest = found.groupBy("start", "end").agg(F.min("depth").alias("least"))
-    found = found.join(shortest, ["start", "end"]).where(F.col("depth") <= F.col("least") + 1)
-    hop = found.select("start", "end", "path", F.explode(F.sequence(F.lit(2), F.col("depth") - 1)).alias("i")).where("i >= 2")
-    hop = hop.select("start", "end", "path", F.element_at("path", F.col("i")).alias("artist_a_id"), F.element_at("path", F.col("i") + 1).alias("artist_b_id")).where("artist_b_id > 0")
-    facts = hop.join(edges, ["artist_a_id", "artist_b_id"]).withColumn("release_id", F.col("e.release_id")).join(severities.select("release_id", "severity"), "release_id", "left")
-    performs = R.performer_role(F.col("e.role_a"), policy) | R.performer_role(F.col("e.role_b"), policy)
-    facts = facts.groupBy("start", "end", "path").agg(F.max(F.coalesce("severity", F.lit(0))).alias("severity"), F.count_if(~performs).alias("weak_hops"))
-    hubs = found.select("start", "end", "path", F.explode("path").alias("artist_id")).where("artist_id > 0").join(degree, "artist_id", "left").groupBy("start", "end", "path").agg(F.max(F.coalesce("degree", F.lit(0))).alias("hub_degree"))
-    keys = ["start", "end", "path"]
-    ranked = found.join(facts, keys, "left").join(hubs, keys).select(*keys, "depth", "least", F.coalesce("severity", F.lit(0)).alias("severity"), "hub_degree", F.coalesce("weak_hops", F.lit(0)).alias("weak_hops"))
+        layer = _judged(routes(edges, open_, depth, left, F.col("_to") > 0), depth, edges, degree, severities, policy)
+        layer = materialize(layer, "layer")
+        ranked = layer if ranked is None else ranked.unionByName(layer)
+        # a pair is done one hop after its shortest routes, or at once if one of them has no caveat
+        done = ranked.groupBy("start", "end").agg(F.min("depth").alias("least"), F.min(F.when(F.col("severity") == 0, 0).otherwise(1)).alias("worst"))
+        done = done.where((F.col("worst") == 0) | (F.col("least") < depth))
+        open_ = materialize(open_.join(done, ["start", "end"], "left_anti"), "open")
+    ranked = ranked.join(ranked.groupBy("start", "end").agg(F.min("depth").alias("least")), ["start", "end"])
     # a longer route is worth considering only below the best severity of the shortest ones
     best = ranked.where("depth = least").groupBy("start", "end").agg(F.min("severity").alias("best"))
-    open_ = ranked.join(best, ["start", "end"]).where("depth = least OR severity < best")
+    fit = ranked.join(best, ["start", "end"]).where("depth = least OR severity < best")
     order = Window.partitionBy("start", "end").orderBy("severity", "hub_degree", "weak_hops", "depth", "path")
-    top = open_.withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
+    top = fit.withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
     return top.select("start", "end", (F.col("depth") - 2).alias("hops"), F.array_join(F.transform("path", lambda x: x.cast("string")), "|").alias("path"), "severity", "hub_degree", "weak_hops", (F.col("depth") > F.col("least")).alias("longer"))

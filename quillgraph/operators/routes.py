@@ -33,16 +33,21 @@ def distances_to(edges: DataFrame, target: DataFrame, hops: int) -> DataFrame:
     return state
 
 
-def routes(edges: DataFrame, pairs: DataFrame, hops: int) -> DataFrame:
-    """All simple routes of exactly `hops` hops for pairs (start, end), pruned by the distance that is left: start, end, path."""
-    left = distances_to(edges, pairs.select(F.col("end").alias("artist_id")).distinct(), hops).select(F.col("target").alias("end"), F.col("artist_id").alias("at"), "dist")
+def routes(edges: DataFrame, pairs: DataFrame, hops: int, left: DataFrame | None = None, middle: Column | None = None) -> DataFrame:
+    """All simple routes of exactly `hops` hops for pairs (start, end), pruned by the distance that is left: start, end, path.
+
+    `left` are known distances (distances_to, at least as far as `hops`); `middle` judges `_to`, an artist on the way."""
+    if left is None:
+        left = distances_to(edges, pairs.select(F.col("end").alias("artist_id")).distinct(), hops)
+    left = left.select(F.col("target").alias("end"), F.col("artist_id").alias("at"), "dist")
     step = edges.select(F.col("artist_a_id").alias("_from"), F.col("artist_b_id").alias("_to"))
     walk = pairs.select("start", "end", F.col("start").alias("_from"), F.array("start").alias("path"))
     for d in range(1, hops + 1):
         walk = walk.join(step, "_from").where(~F.array_contains("path", F.col("_to")))
+        walk = walk.where((F.col("_to") == F.col("end")) if d == hops else (F.col("_to") != F.col("end")) & (F.lit(True) if middle is None else middle))
         walk = walk.join(left.where(F.col("dist") <= hops - d).withColumnRenamed("at", "_to"), ["end", "_to"]).drop("dist")
         walk = walk.select("start", "end", F.col("_to").alias("_from"), F.concat("path", F.array("_to")).alias("path"))
-    return walk.where(F.col("_from") == F.col("end")).select("start", "end", "path")
+    return walk.select("start", "end", "path")
 
 
 def ranked_routes(edges: DataFrame, pairs: DataFrame, hops: int, k: int = 3, cost: Column | None = None) -> DataFrame:

@@ -632,13 +632,22 @@ def recommended_routes(spark, sf_dir):
     return albumgraph.recommended_routes(g, materialize(pairs, "pairs"), formats.release_caveats(m, LENS), LENS)
 
 
-@query()
+@query(f"""WITH {_EDGE_ALBUMS}, ends AS (SELECT DISTINCT artist_id AS a FROM catalog),
+one AS (SELECT a, artist_b_id AS at1 FROM ends JOIN edges ON artist_a_id = a), two AS (SELECT DISTINCT a, artist_b_id AS at1 FROM one JOIN edges ON artist_a_id = at1),
+near AS (SELECT a, at1, min(d) AS d FROM (SELECT a, at1, 1 AS d FROM one UNION ALL SELECT a, at1, 2 FROM two UNION ALL SELECT a, a, 0 FROM ends) GROUP BY 1, 2),
+met AS (SELECT x.a AS a, y.a AS b, min(x.d + y.d) AS hops FROM near x JOIN near y ON x.at1 = y.at1 WHERE x.a < y.a AND x.d + y.d <= 3 GROUP BY 1, 2)
+SELECT x.master_id AS album_a_id, y.master_id AS album_b_id, CASE WHEN hops IS NULL THEN 'no_path' ELSE 'found' END AS status, CAST(hops AS INTEGER) AS hop_count,
+  CASE hops WHEN 1 THEN 'easy' WHEN 2 THEN 'medium' WHEN 3 THEN 'hard' END AS difficulty
+FROM catalog x JOIN catalog y ON x.master_id < y.master_id LEFT JOIN met ON met.a = least(x.artist_id, y.artist_id) AND met.b = greatest(x.artist_id, y.artist_id)""")
 def connectivity_pairs(spark, sf_dir):
     m, c = _catalog(spark, sf_dir)
-    albums = [r.asDict() for r in c.orderBy("master_id").collect()]
-    pairs = artifacts.connectivity_cohort(_stored(spark, sf_dir), albums)["pairs"]
-    rows = [(p["album_a_id"], p["album_b_id"], p["status"], p.get("hop_count"), "-".join(str(h["release_id"]) for h in p["hops"])) for p in pairs]
-    return spark.createDataFrame(rows, "album_a_id long, album_b_id long, status string, hop_count int, releases string")
+    albums = materialize(c.select("master_id", "artist_id"), "albums")
+    status = graph.pair_status(_stored(spark, sf_dir), albums.select("artist_id").distinct(), 3)
+    x, y = (albums.select(F.col("master_id").alias(f"album_{n}_id"), F.col("artist_id").alias(f"_{n}")) for n in "ab")
+    pairs = x.join(y, F.col("album_a_id") < F.col("album_b_id")).withColumn("seed_a", F.least("_a", "_b")).withColumn("seed_b", F.greatest("_a", "_b"))
+    hops = F.col("hops")
+    difficulty = F.when(hops == 1, "easy").when(hops == 2, "medium").when(hops == 3, "hard")
+    return pairs.join(status, ["seed_a", "seed_b"], "left").select("album_a_id", "album_b_id", "status", hops.alias("hop_count"), difficulty.alias("difficulty"))
 
 
 @query(f"""WITH {_SCORES}, {_CATALOG}, {_POLICY.replace(L.SQL + ", ", "")},

@@ -60,10 +60,6 @@ def test_routes_take_the_whole_catalog(spark, monkeypatch):
     monkeypatch.setattr(q.albumgraph, "anchored_graph", lambda *_: None)
     monkeypatch.setattr(q.albumgraph, "anchors", lambda albums: albums.selectExpr("-master_id AS anchor_id"))
     monkeypatch.setattr(q.albumgraph, "recommended_routes", take)
-    monkeypatch.setattr(q.artifacts, "connectivity_cohort", take)
     with pytest.raises(Taken) as routes:
         q.recommended_routes(spark, SF)
-    with pytest.raises(Taken) as pairs:
-        q.connectivity_pairs(spark, SF)
     assert routes.value.args[0][1].count() == 30 * 29 // 2 and routes.value.args[1].get("max_hops", 4) == 4
-    assert len(pairs.value.args[0][1]) == 30
