@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or an own folder where that is unset (tests)."""
+    """spark.checkpoint.dir of the session, or an own folder where that is unset and all runs on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = os.environ.get("_QUILLGRAPH_SCRATCH") or tempfile.mkdtemp(prefix="quillgraph-")
         os.environ["_QUILLGRAPH_SCRATCH"] = root
         root = f"file://{root}"
