@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import itertools
-import os
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.sources.scratch import materialize, scratch_root
+
 #: Rows up to which a narrow side (ids and a few numbers, under 100 bytes a row, so 20 MB) is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -17,25 +16,6 @@ BROADCAST_ROWS = 200_000
 BUCKET_ROWS = 65_536
 
 _SMALLEST = -(2**63)
-_names = itertools.count()
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediates: spark.checkpoint.dir, or an own one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.environ.get("_QUILLGRAPH_SCRATCH") or tempfile.mkdtemp(prefix="quillgraph-")
-        os.environ["_QUILLGRAPH_SCRATCH"] = root
-        root = f"file://{root}"
-    return root.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back, so that later stages survive lost executors without recomputing."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{next(_names)}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Rows and bytes of an Arrow batch on its way to Python, set for the session where it has the defaults: whole texts are

@@ -82,5 +82,5 @@ r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l
 SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, (SELECT min(b) FROM r WHERE a = vec_id) AS component_id, vec_id = (SELECT min(b) FROM r WHERE a = vec_id) AS kept FROM v
 """
 
-#: SQL has no xxhash64 (1, 2), no fitted models (5, 10), no BPE (3, 7), no sequential sampling (6) and no SimHash (9); these are tested against brute force in tests/llm.
+#: SQL has no xxhash64 (1, 2), no fitted models (5, 10), no BPE (3, 7), no sequential sampling (6) and no SimHash of parts of lines (9); these are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {"op4_probminhash": _NEAR, "op8_embedding_near_dedup": _VECTORS}
