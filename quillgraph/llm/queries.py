@@ -99,10 +99,11 @@ _CRC = """xor(list_reduce(list_concat([4294967295], flatten([[ord(x), -1, -1, -1
 
 _PASSAGES = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-x AS (SELECT r, o, i, md5(array_to_string(w[i:i + 12], ' ')) AS k FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d)),
+words AS (SELECT r, o, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+f AS (SELECT r, o, i, md5(string_agg(word, ' ') OVER s) AS k, count(*) OVER s AS n FROM words WINDOW s AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+x AS (SELECT * FROM f WHERE n = 13),
 m AS (SELECT k, min(o) AS o FROM x GROUP BY k),
 gone AS (SELECT DISTINCT r, i + unnest(range(0, 13)) AS i FROM x JOIN m ON m.k = x.k AND m.o < x.o),
-words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
 kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
 """
@@ -115,7 +116,7 @@ c AS (
 v AS (
   SELECT change_id AS id, client_id, valid_at, op, CAST(floor(100 * balance + 0.5) AS BIGINT) AS cents,
     greatest(least(11, CAST(floor((CAST(floor(epoch_us(valid_at) / 86400000000) AS BIGINT) + crc % 4 - 19723) * 12 / 152) AS BIGINT)), 0) AS batch
-  FROM (SELECT *, {_CRC.format('change_id')}) AS crc FROM c)),
+  FROM (SELECT *, {_CRC.format('change_id')} AS crc FROM c)),
 b AS (SELECT unnest(range(0, 12)) AS batch),
 m AS (SELECT batch, (SELECT max(sold_at) FROM s WHERE s.batch < b.batch) AS ws, (SELECT max(valid_at) FROM v WHERE v.batch < b.batch) AS wc FROM b),
 h AS (SELECT batch, wc, CASE WHEN ws IS NOT NULL AND wc IS NOT NULL THEN least(ws, wc) END AS h FROM m),
