@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import roles as R
+from quillgraph.operators.components import components
 from quillgraph.plans.lens import Model
 from quillgraph.policies import Policy
 from quillgraph.sources.scratch import materialize
@@ -53,6 +54,39 @@ def scope_tiers(model: Model, artist_ids: DataFrame, policy: Policy) -> DataFram
     return j.groupBy("artist_id").agg(F.count(F.lit(1)).alias("tier_a"), F.count_if(alone).alias("tier_b"), F.count_if(alone & F.col("main")).alias("tier_c"))
 
 
+def tier_graphs(model: Model, directed: DataFrame, artist_ids: DataFrame, policy: Policy) -> DataFrame:
+    """One row per given artist and tier (a: any credit of the artist, b: billed to it alone, c: billed to it alone and the main
+    release of its master): releases, credits, contributors, classified_share of the credits, nodes, edges, components,
+    largest (component) and star (one component without a cycle) of the graph of the tier's releases.
+
+    The rules for edges look at one release only, so that a tier's graph is the directed edges of its releases; the graphs of all
+    artists and tiers are contracted at once, as nodes (artist, tier, node). Tiers without a release have zeros."""
+    c = materialize(model.credits.select("release_id", "artist_id", "credit_scope", "role_text", R.is_playable().alias("playable")), "tier-credits")
+    a = c.where("playable").join(artist_ids, "artist_id", "left_semi").select("artist_id", "release_id").distinct()
+    billed = c.where("playable AND credit_scope = 'release_artist'").groupBy("release_id").agg(F.countDistinct("artist_id").alias("n"), F.min("artist_id").alias("only"))
+    main = model.releases.select("release_id", F.coalesce("master_is_main_release", F.lit(False)).alias("main"))
+    j = a.join(billed, "release_id", "left").join(main, "release_id")
+    alone = F.coalesce((F.col("n") == 1) & (F.col("only") == F.col("artist_id")), F.lit(False))
+    tiers = F.concat(F.array(F.lit("a")), F.when(alone, F.array(F.lit("b"))).otherwise(F.array().cast("array<string>")), F.when(alone & F.col("main"), F.array(F.lit("c"))).otherwise(F.array().cast("array<string>")))
+    of = materialize(j.select(F.col("artist_id").alias("seed"), "release_id", F.explode(tiers).alias("tier")), "tier-releases")
+    known = R.primary_category(R.role_categories(F.col("role_text"), policy)) != "unknown"
+    per = c.withColumn("known", known).join(of, "release_id").groupBy("seed", "tier").agg(
+        F.countDistinct("release_id").alias("releases"), F.count(F.lit(1)).alias("credits"), F.countDistinct("artist_id").alias("contributors"), F.round(F.avg(F.col("known").cast("double")), 4).alias("classified_share"),
+    )
+    links = directed.where("artist_a_id < artist_b_id").unionByName(directed.where("artist_a_id > artist_b_id").select(F.col("artist_b_id").alias("artist_a_id"), F.col("artist_a_id").alias("artist_b_id"), *[x for x in directed.columns if x not in ("artist_a_id", "artist_b_id")]))
+    links = links.select("artist_a_id", "artist_b_id", "release_id").distinct().join(of, "release_id").select("seed", "tier", "artist_a_id", "artist_b_id").distinct()
+    node = lambda n: F.struct("seed", "tier", F.col(f"artist_{n}_id").alias("id"))
+    links = materialize(links.select(node("a").alias("a"), node("b").alias("b")), "tier-links")
+    counted = links.groupBy(F.col("a.seed").alias("seed"), F.col("a.tier").alias("tier")).agg(F.count(F.lit(1)).alias("edges"))
+    sizes = components(links, "tiers").groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    shape = sizes.groupBy(F.col("root.seed").alias("seed"), F.col("root.tier").alias("tier")).agg(F.sum("size").alias("nodes"), F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"))
+    every = artist_ids.select(F.col("artist_id").alias("seed")).distinct().withColumn("tier", F.explode(F.array(*[F.lit(t) for t in "abc"])))
+    out = every.join(per, ["seed", "tier"], "left").join(counted, ["seed", "tier"], "left").join(shape, ["seed", "tier"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    star = F.coalesce((F.col("components") == 1) & (F.col("edges") == F.col("nodes") - 1), F.lit(False))
+    return out.select(F.col("seed").alias("artist_id"), "tier", *[zero(x) for x in ("releases", "credits", "contributors")], F.coalesce("classified_share", F.lit(0.0)).alias("classified_share"), *[zero(x) for x in ("nodes", "edges", "components", "largest")], star.alias("star"))
+
+
 def family_groups(model: Model) -> DataFrame:
     """Memberships in one direction: artist_id belongs to group_id."""
     r = model.artist_relations

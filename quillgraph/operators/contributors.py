@@ -9,6 +9,7 @@ from quillgraph.functions import roles as R
 from quillgraph.operators.edges import window_rank
 from quillgraph.plans.lens import Model
 from quillgraph.policies import Policy
+from quillgraph.sources.scratch import materialize
 
 #: Entries of an artist's lists at most: a list that is a feature, each with a total order.
 ROLE_TEXTS, EVIDENCE, NEIGHBOURS = 5, 10, 20
@@ -189,7 +190,7 @@ def route_measures(edges: DataFrame, pairs: DataFrame, hops: int = 3) -> DataFra
     for d in range(1, hops + 1):
         last = state.where(F.col("dist") == d - 1).select("start", "at", "n")
         new = last.join(step, "at").groupBy("start", F.col("to").alias("at")).agg(F.sum("n").cast("decimal(38,0)").alias("n"))
-        state = state.unionByName(new.join(state.select("start", "at"), ["start", "at"], "left_anti").withColumn("dist", F.lit(d)))
+        state = state.unionByName(materialize(new.join(state.select("start", "at"), ["start", "at"], "left_anti").withColumn("dist", F.lit(d)), "measures"))
     reached = state.where("dist > 0").select("start", F.col("at").alias("end"), F.col("dist").alias("shortest_hops"), F.col("n").cast("long").alias("equal_routes"))
     return pairs.select("start", "end").join(reached, ["start", "end"], "left")
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quillgraph.functions import roles as R
 from quillgraph.plans.lens import Model
 from quillgraph.policies import Policy
-from quillgraph.sources.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -22,16 +21,25 @@ class EvidencePreference:
     prefer_main: bool = True
 
 
-def edge_credits(model: Model, policy: Policy, format_policy: DataFrame | None = None) -> DataFrame:
-    """Credits that can make an edge."""
+def _making(model: Model, policy: Policy) -> DataFrame:
+    """Credits that can make an edge, on any release."""
     c = model.credits.where(R.is_playable() & R.not_placeholder(F.col("artist_id"), policy) & ~R.edge_ineligible(F.col("role_text"), policy))
-    c = c.select("release_id", "track_index", "track_title", "credit_scope", "artist_id")
+    return c.select("release_id", "track_index", "track_title", "credit_scope", "artist_id")
+
+
+def _on_releases(rows: DataFrame, model: Model, policy: Policy, format_policy: DataFrame | None) -> DataFrame:
+    """Rows of the releases that can make an edge: those whose title is no variant's, or those the format policy allows."""
     releases = model.releases.select("release_id", "title")
     if format_policy is None:
         releases = releases.where(~R.variant_title(F.col("title"), policy.variant_release_pattern))
     else:
-        c = c.join(format_policy.where("decision = 'allow'").select("release_id"), "release_id", "left_semi")
-    return c.join(releases.select("release_id"), "release_id", "left_semi")
+        rows = rows.join(format_policy.where("decision = 'allow'").select("release_id"), "release_id", "left_semi")
+    return rows.join(releases.select("release_id"), "release_id", "left_semi")
+
+
+def edge_credits(model: Model, policy: Policy, format_policy: DataFrame | None = None) -> DataFrame:
+    """Credits that can make an edge."""
+    return _on_releases(_making(model, policy), model, policy, format_policy)
 
 
 def release_shapes(credits: DataFrame, policy: Policy) -> DataFrame:
@@ -41,41 +49,45 @@ def release_shapes(credits: DataFrame, policy: Policy) -> DataFrame:
     return shape.select("release_id", "track_artists", "billed", "artists", ((F.col("track_artists") < policy.compilation_threshold) & F.col("artists").between(2, policy.max_artists_per_release)).alias("album"), (F.col("billed") == 1).alias("single"))
 
 
-def track_performers(credits: DataFrame, shapes: DataFrame, tracks: DataFrame) -> DataFrame:
-    """A track's own artists; where an album billed to one artist names none, that artist."""
-    own = credits.where("credit_scope = 'track_artist' AND track_index IS NOT NULL").select("release_id", "track_index", "artist_id")
-    open_ = tracks.select("release_id", "track_index").join(own.select("release_id", "track_index").distinct(), ["release_id", "track_index"], "left_anti")
-    single = shapes.where("single AND album").select("release_id")
-    billed = credits.where("credit_scope = 'release_artist'").select("release_id", "artist_id")
-    inherited = open_.join(single, "release_id").join(billed, "release_id").select("release_id", "track_index", "artist_id")
-    return own.unionByName(inherited).distinct()
+def _pairs(xs: Column, ys: Column, rule: str, fit) -> Column:
+    """(a, b, rule) of different artists for which fit(a, b)."""
+    every = F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("a"), y.alias("b"), F.lit(rule).alias("rule")))))
+    return F.filter(every, lambda e: (e["a"] != e["b"]) & fit(e["a"], e["b"]))
 
 
 def directed_edges(model: Model, policy: Policy, format_policy: DataFrame | None = None) -> DataFrame:
-    """All directed (artist_a_id, artist_b_id, release_id, rule) before they are collapsed to one release a pair."""
-    credits = materialize(edge_credits(model, policy, format_policy), "edge-credits")  # nine readers below
-    shapes = release_shapes(credits, policy)
-    albums = shapes.where("album").select("release_id")
-    tracks = credits.where("track_index IS NOT NULL").groupBy("release_id", "track_index").agg(F.min("track_title").alias("title"), F.countDistinct("artist_id").alias("n")).where(F.col("n") <= policy.max_artists_per_track).drop("n")
-    billed = credits.where("credit_scope = 'release_artist'").select("release_id", "artist_id").distinct()
-    performers = track_performers(credits, shapes, tracks).join(billed.withColumn("billed", F.lit(True)), ["release_id", "artist_id"], "left").withColumn("billed", F.coalesce("billed", F.lit(False)))
-    studio = lambda c: ~R.variant_title(F.col(c), policy.variant_track_pattern)
-
-    others = credits.where("credit_scope <> 'track_artist' AND track_index IS NOT NULL").where(studio("track_title")).select("release_id", "track_index", F.col("artist_id").alias("b"))
-    others = others.join(billed.select("release_id", F.col("artist_id").alias("b"), F.lit(True).alias("b_billed")), ["release_id", "b"], "left")
-    same = (
-        performers.join(tracks.select("release_id", "track_index"), ["release_id", "track_index"], "left_semi")
-        .join(others, ["release_id", "track_index"])
-        .where((F.col("artist_id") != F.col("b")) & (F.col("billed") | F.col("b_billed").isNotNull()))
-        .select(F.col("artist_id").alias("a"), "b", "release_id", F.lit("same_recording").alias("rule"))
-    )
-    p = performers.where("billed").join(albums, "release_id", "left_semi").join(tracks.where(studio("title")).select("release_id", "track_index"), ["release_id", "track_index"], "left_semi").select("release_id", "track_index", "artist_id")
-    together = p.withColumnRenamed("artist_id", "a").join(p.withColumnRenamed("artist_id", "b"), ["release_id", "track_index"]).where("a <> b").select("a", "b", "release_id", F.lit("co_performers").alias("rule"))
-    wide = credits.where("credit_scope = 'release_credit'").join(albums, "release_id", "left_semi").select("release_id", F.col("artist_id").alias("b"))
-    scope = billed.withColumnRenamed("artist_id", "a").join(wide, "release_id").where("a <> b").select("a", "b", "release_id", F.lit("release_scope").alias("rule"))
-    both = F.explode(F.array(F.struct(F.col("a").alias("artist_a_id"), F.col("b").alias("artist_b_id")), F.struct(F.col("b").alias("artist_a_id"), F.col("a").alias("artist_b_id"))))
-    mirrored = same.unionByName(scope).select(both.alias("_e"), "release_id", "rule").select("_e.*", "release_id", "rule")
-    return mirrored.unionByName(together.select(F.col("a").alias("artist_a_id"), F.col("b").alias("artist_b_id"), "release_id", "rule"))
+    """All directed (artist_a_id, artist_b_id, release_id, rule) before they are collapsed to one release a pair.
+
+    Credits are dealt out by release once. On that partitioning they are gathered by track and then by release, the releases are
+    joined, and the rules are read off the arrays: same_recording (an artist of a track with others credited on it, one of
+    them billed), co_performers (billed artists of a track of an album) and release_scope (billed artists of an album with those
+    credited for all of it). A track's own artists perform it; where an album billed to one artist names none, that artist. Pairs are
+    made within tracks and albums of a bounded number of artists only.
+    """
+    studio = lambda c: ~R.variant_title(c, policy.variant_track_pattern)
+    who, scope = F.col("artist_id"), F.col("credit_scope")
+    tracks = _making(model, policy).repartition("release_id").groupBy("release_id", "track_index").agg(
+        F.min("track_title").alias("title"), F.collect_set(who).alias("artists"), F.collect_set(F.when(scope == "track_artist", who)).alias("own"),
+        F.collect_list(F.when((scope != "track_artist") & studio(F.col("track_title")), who)).alias("others"),
+        F.collect_set(F.when(scope == "release_artist", who)).alias("billed"), F.collect_list(F.when(scope == "release_credit", who)).alias("wide"),
+    )
+    small = F.col("track_index").isNotNull() & (F.size("artists") <= policy.max_artists_per_track)
+    releases = tracks.groupBy("release_id").agg(
+        F.collect_list(F.when(small, F.struct(studio(F.col("title")).alias("studio"), "own", "others"))).alias("tracks"), F.array_distinct(F.flatten(F.collect_list("artists"))).alias("artists"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("own")))).alias("track_artists"), F.array_distinct(F.flatten(F.collect_list("billed"))).alias("billed"), F.flatten(F.collect_list("wide")).alias("wide"),
+    )
+    album = (F.col("track_artists") < policy.compilation_threshold) & F.size("artists").between(2, policy.max_artists_per_release)
+    releases = _on_releases(releases.withColumn("album", album), model, policy, format_policy)
+    none, billed = F.array().cast("array<long>"), F.col("billed")
+    performers = lambda t: F.when(F.size(t["own"]) > 0, t["own"]).when(F.col("album") & (F.size(billed) == 1), billed).otherwise(none)
+    is_billed = lambda x: F.array_contains(billed, x)
+    same = F.flatten(F.transform("tracks", lambda t: _pairs(performers(t), t["others"], "same_recording", lambda a, b: is_billed(a) | is_billed(b))))
+    both = lambda t: F.array_intersect(performers(t), billed)
+    together = F.flatten(F.transform(F.filter("tracks", lambda t: F.col("album") & t["studio"]), lambda t: _pairs(both(t), both(t), "co_performers", lambda a, b: F.lit(True))))
+    wide = _pairs(F.when(F.col("album"), billed).otherwise(none), F.col("wide"), "release_scope", lambda a, b: F.lit(True))
+    mirrored = F.flatten(F.transform(F.concat(same, wide), lambda e: F.array(e, F.struct(e["b"].alias("a"), e["a"].alias("b"), e["rule"].alias("rule")))))
+    edges = releases.select("release_id", F.explode(F.concat(mirrored, together)).alias("_e"))
+    return edges.select(F.col("_e.a").alias("artist_a_id"), F.col("_e.b").alias("artist_b_id"), "release_id", F.col("_e.rule").alias("rule"))
 
 
 def caveat_flags(formats: DataFrame, tiers: tuple[tuple[str, ...], ...]) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import roles as R
+from quillgraph.operators.components import components
 from quillgraph.operators.edges import degrees
 from quillgraph.plans.lens import Model
 from quillgraph.policies import Policy
@@ -28,12 +31,21 @@ def neighbors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return seeds.join(e, "artist_id", "left")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int, max_degree: int | None = None) -> DataFrame:
-    """Breadth-first reach of all seeds at once: seed_id, artist_id, parent_id, release_id, dist.
+@dataclass(frozen=True)
+class Reach:
+    """What seeds have reached (seed_id, artist_id, parent_id, release_id, dist), and the seeds that reached too much (seed_id):
+    these have no rows."""
+
+    rows: DataFrame
+    failed: DataFrame
+
 
-    A reached artist keeps the (release, parent) lowest in order at its distance. Artists of a degree above max_degree are
-    reached but not expanded; seeds always are. Each hop is one join of the last level with the edges; levels are written
-    to the shared folder, so that plans stay short.
+def bounded_reach(edges: DataFrame, seeds: DataFrame, hops: int, max_degree: int | None = None, max_rows: int | None = None) -> Reach:
+    """Breadth-first reach of all seeds at once; a reached artist keeps the (release, parent) lowest in order at its distance.
+
+    Artists of a degree above max_degree are reached but not expanded; seeds always are. A seed with more than max_rows rows after
+    a hop fails: its rows are dropped and it is not expanded further, so that no pair is judged by half a reach. Each hop is one
+    join of the last level with the edges; levels are written to the shared folder, so that plans stay short.
     """
     step = edges.select(F.col("artist_a_id").alias("parent_id"), F.col("artist_b_id").alias("to"), "release_id")
     if max_degree is not None:
@@ -43,40 +55,122 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, max_degree: int | None
     none = F.lit(None).cast("long")
     state = seeds.select(F.col("artist_id").alias("seed_id"), "artist_id", none.alias("parent_id"), none.alias("release_id"), F.lit(0).alias("dist"))
     last = state
+    failed = edges.sparkSession.createDataFrame([], "seed_id long")
     for d in range(1, hops + 1):
         found = last.select("seed_id", F.col("artist_id").alias("parent_id")).join(step if d == 1 else step.where("_open"), "parent_id")
         best = found.groupBy("seed_id", F.col("to").alias("artist_id")).agg(F.min(F.struct("release_id", "parent_id")).alias("_b"))
         new = best.join(state.select("seed_id", "artist_id"), ["seed_id", "artist_id"], "left_anti")
         last = materialize(new.select("seed_id", "artist_id", F.col("_b.parent_id").alias("parent_id"), F.col("_b.release_id").alias("release_id"), F.lit(d).alias("dist")), "reach")
         state = state.unionByName(last)
-    return state
+        if max_rows is not None:
+            over = materialize(state.groupBy("seed_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows).select("seed_id"), "reach-over")
+            failed = failed.unionByName(over)
+            state, last = (x.join(over, "seed_id", "left_anti") for x in (state, last))
+    return Reach(state, failed)
+
+
+def reach(edges: DataFrame, seeds: DataFrame, hops: int, max_degree: int | None = None) -> DataFrame:
+    """The rows of bounded_reach without a bound on rows."""
+    return bounded_reach(edges, seeds, hops, max_degree).rows
+
+
+def _meeting(open_: DataFrame, reached: DataFrame, da: int, db: int) -> DataFrame:
+    """Artists at distance da from seed_a and db from seed_b, for open pairs. The nearer side is listed, the farther one looked up,
+    so no artist brings all its seeds together."""
+    near, far = (("seed_a", da), ("seed_b", db)) if da <= db else (("seed_b", db), ("seed_a", da))
+    listed, known = (reached.where(F.col("dist") == d).select(F.col("seed_id").alias(name), F.col("artist_id").alias("via")) for name, d in (near, far))
+    return open_.join(listed, near[0]).join(known, [far[0], "via"], "left_semi").select("seed_a", "seed_b", "via")
 
 
-def pair_distances(reached: DataFrame, max_hops: int) -> DataFrame:
+def meet(reached: DataFrame, pairs: DataFrame, max_hops: int, half: int) -> DataFrame:
+    """Pairs (seed_a, seed_b) that meet within max_hops, each seed having been expanded to half hops: seed_a, seed_b, hops, via (the
+    lowest artist in the middle of a shortest way). Distance by distance; pairs that have met are taken out first."""
+    reached = materialize(reached.select("seed_id", "artist_id", "dist"), "reached")
+    open_, found = materialize(pairs.select("seed_a", "seed_b").distinct(), "pairs"), None
+    for hops in range(min(max_hops, 2 * half) + 1):
+        ways = [_meeting(open_, reached, da, hops - da) for da in range(max(0, hops - half), min(hops, half) + 1)]
+        here = functools.reduce(DataFrame.unionByName, ways).groupBy("seed_a", "seed_b").agg(F.min("via").alias("via"))
+        here = materialize(here.select("seed_a", "seed_b", F.lit(hops).alias("hops"), "via"), "met")
+        found = here if found is None else found.unionByName(here)
+        open_ = materialize(open_.join(here, ["seed_a", "seed_b"], "left_anti"), "pairs")
+    return found
+
+
+def seed_pairs(seeds: DataFrame) -> DataFrame:
+    """All pairs of seeds, the lower one first."""
+    a, b = (seeds.select(F.col("artist_id").alias(f"seed_{n}")) for n in "ab")
+    return a.join(b, F.col("seed_a") < F.col("seed_b"))
+
+
+def pair_distances(reached: DataFrame, max_hops: int, half: int | None = None) -> DataFrame:
     """Shortest distance of each pair of seeds through a common reached artist, with the lowest such artist."""
-    x = reached.select("artist_id", F.col("seed_id").alias("seed_a"), F.col("dist").alias("da"))
-    y = reached.select("artist_id", F.col("seed_id").alias("seed_b"), F.col("dist").alias("db"))
-    met = x.join(y, "artist_id").where("seed_a < seed_b").where(F.col("da") + F.col("db") <= max_hops)
-    best = met.groupBy("seed_a", "seed_b").agg(F.min(F.struct((F.col("da") + F.col("db")).alias("hops"), F.col("artist_id").alias("via"))).alias("_m"))
-    return best.select("seed_a", "seed_b", F.col("_m.hops").cast("int").alias("hops"), F.col("_m.via").alias("via"))
+    half = -(-max_hops // 2) if half is None else half
+    return meet(reached, seed_pairs(reached.where("dist = 0").select("artist_id")), max_hops, half)
 
 
-def pair_status(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, max_degree: int | None = None) -> DataFrame:
-    """found / no_path / skipped for each pair of seeds; skipped where a capped artist was met on either side, so that
-    absence is not proven."""
+def scored_pairs(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, max_degree: int | None = None, max_rows: int | None = None, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Each pair of seeds (or of `pairs`: seed_a, seed_b) with status, hops, via and skip_reason, and the reach behind it.
+
+    found; no_path, only where both ends were expanded completely; else skipped: reach_too_large where a seed reached more than
+    max_rows, frontier_too_large where an artist of a degree above max_degree was left unexpanded on either side.
+    """
     half = -(-max_hops // 2)
-    reached = reach(edges, seeds, half, max_degree)
-    dist = pair_distances(reached, max_hops)
+    got = bounded_reach(edges, seeds, half, max_degree, max_rows)
+    reached = materialize(got.rows, "reach-all")
+    pairs = seed_pairs(seeds) if pairs is None else pairs
+    failed = got.failed.select(F.col("seed_id").alias("artist_id"), F.lit(True).alias("large"))
+    known = seeds.select("artist_id").distinct().join(failed, "artist_id", "left")
     if max_degree is None:
-        cut = seeds.select("artist_id", F.lit(False).alias("cut"))
+        known = known.withColumn("cut", F.lit(False))
     else:
         hubs = degrees(edges).where(F.col("degree") > max_degree).select("artist_id")
-        hit = reached.where((F.col("dist") > 0) & (F.col("dist") < half)).join(hubs, "artist_id", "left_semi").select(F.col("seed_id").alias("artist_id")).distinct()
-        cut = seeds.join(hit.withColumn("cut", F.lit(True)), "artist_id", "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
-    a, b = (cut.select(F.col("artist_id").alias(f"seed_{n}"), F.col("cut").alias(f"cut_{n}")) for n in "ab")
-    pairs = a.join(b, F.col("seed_a") < F.col("seed_b"))
-    status = F.when(F.col("hops").isNotNull(), "found").when(F.col("cut_a") | F.col("cut_b"), "skipped").otherwise("no_path")
-    return pairs.join(dist, ["seed_a", "seed_b"], "left").select("seed_a", "seed_b", status.alias("status"), "hops", "via")
+        hit = reached.where((F.col("dist") > 0) & (F.col("dist") < half)).join(hubs, "artist_id", "left_semi").select(F.col("seed_id").alias("artist_id"), F.lit(True).alias("cut")).distinct()
+        known = known.join(hit, "artist_id", "left")
+    known = materialize(known.select("artist_id", F.coalesce("large", F.lit(False)).alias("large"), F.coalesce("cut", F.lit(False)).alias("cut")), "seeds-known")
+    a, b = (known.select(F.col("artist_id").alias(f"seed_{n}"), F.col("large").alias(f"large_{n}"), F.col("cut").alias(f"cut_{n}")) for n in "ab")
+    judged = pairs.join(a, "seed_a").join(b, "seed_b").join(meet(reached, pairs, max_hops, half), ["seed_a", "seed_b"], "left")
+    reason = F.when(F.col("hops").isNotNull(), None).when(F.col("large_a") | F.col("large_b"), "reach_too_large").when(F.col("cut_a") | F.col("cut_b"), "frontier_too_large")
+    status = F.when(F.col("hops").isNotNull(), "found").when(reason.isNotNull(), "skipped").otherwise("no_path")
+    return judged.select("seed_a", "seed_b", status.alias("status"), "hops", "via", reason.alias("skip_reason")), reached
+
+
+def pair_status(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, max_degree: int | None = None) -> DataFrame:
+    """found / no_path / skipped for each pair of seeds; skipped where a capped artist was met on either side, so that
+    absence is not proven."""
+    return scored_pairs(edges, seeds, max_hops, max_degree)[0].drop("skip_reason")
+
+
+def pair_paths(reached: DataFrame, met: DataFrame) -> DataFrame:
+    """The hops of all met pairs (seed_a, seed_b, hops, via) at once: seed_a, seed_b, hop (from 1), from_id, to_id, release_id.
+
+    Both halves are followed back from the artist in the middle, parent by parent: one join of all open ends with the reach for each
+    hop, no search and nothing on the driver.
+    """
+    back = reached.where("dist > 0").select(F.col("seed_id").alias("_seed"), F.col("artist_id").alias("_at"), "parent_id", "release_id", "dist")
+    ends = met.where("hops IS NOT NULL").select("seed_a", "seed_b", "hops", "via")
+    open_ = ends.select("*", F.lit(True).alias("_ahead"), F.col("seed_a").alias("_seed")).unionByName(ends.select("*", F.lit(False).alias("_ahead"), F.col("seed_b").alias("_seed"))).withColumnRenamed("via", "_at")
+    out = None
+    while True:
+        at = materialize(open_.join(back, ["_seed", "_at"]), "paths")
+        hop = F.when(F.col("_ahead"), F.col("dist")).otherwise(F.col("hops") - F.col("dist") + 1)
+        rows = at.select("seed_a", "seed_b", hop.cast("int").alias("hop"), F.when(F.col("_ahead"), F.col("parent_id")).otherwise(F.col("_at")).alias("from_id"), F.when(F.col("_ahead"), F.col("_at")).otherwise(F.col("parent_id")).alias("to_id"), "release_id")
+        out = rows if out is None else out.unionByName(rows)
+        open_ = at.where("dist > 1").select("seed_a", "seed_b", "hops", "_ahead", "_seed", F.col("parent_id").alias("_at"))
+        if not open_.limit(1).count():
+            return out
+
+
+def reversed_paths(paths: DataFrame) -> DataFrame:
+    """Paths walked from the other end: hops numbered from there, each with its ends exchanged."""
+    last = F.max("hop").over(Window.partitionBy("seed_a", "seed_b"))
+    return paths.select(F.col("seed_b").alias("seed_a"), F.col("seed_a").alias("seed_b"), (last - F.col("hop") + 1).alias("hop"), F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "release_id")
+
+
+def without_edges(edges: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Edges but for the excluded ones (artist_a_id, artist_b_id), in either direction."""
+    x = excluded.select("artist_a_id", "artist_b_id")
+    x = x.unionByName(x.select(F.col("artist_b_id").alias("artist_a_id"), F.col("artist_a_id").alias("artist_b_id"))).distinct()
+    return edges.join(x, ["artist_a_id", "artist_b_id"], "left_anti")
 
 
 def find_path(edges: DataFrame, start: int, end: int, max_hops: int = 4, max_frontier_degree: int | None = None) -> list[dict] | None:
@@ -162,21 +256,7 @@ def ego_network(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def label_components(edges: DataFrame) -> DataFrame:
-    """Connected components (artist_id, component: its lowest artist) by large-star and small-star contraction: a few rounds
-    even for long chains, each written to the shared folder; hot artists are aggregated, never collected."""
+    """Connected components (artist_id, component: its lowest artist) of all artists with an edge."""
     nodes = edges.select(F.col("artist_a_id").alias("artist_id")).distinct()
-    links = materialize(edges.where("artist_a_id > artist_b_id").select(F.col("artist_a_id").alias("u"), F.col("artist_b_id").alias("v")), "links")
-    before = None
-    while True:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        links = materialize(linked.where("u <> v").distinct(), "links")
-        state = tuple(links.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(20,0)")), F.sum(F.col("v").cast("decimal(20,0)"))).first())
-        if state == before:
-            break
-        before = state
-    roots = links.groupBy(F.col("u").alias("artist_id")).agg(F.min("v").alias("component"))
+    roots = components(edges.select(F.col("artist_a_id").alias("a"), F.col("artist_b_id").alias("b")), "artists").select(F.col("node").alias("artist_id"), F.col("root").alias("component"))
     return nodes.join(roots, "artist_id", "left").select("artist_id", F.coalesce("component", "artist_id").alias("component"))

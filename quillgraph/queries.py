@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import roles as R
-from quillgraph.operators import albumgraph, analyses, artifacts, edges, expand, formats, graph, quality, rank, rounds, routes
+from quillgraph.operators import albumgraph, analyses, artifacts, centrality, edges, expand, formats, graph, quality, rank, rounds, routes
 from quillgraph.plans import lens as L
 from quillgraph.policies import LENS
 from quillgraph.sources import html
@@ -271,6 +271,16 @@ def label_communities(spark, sf_dir):
     return analyses.label_communities(_stored(spark, sf_dir))
 
 
+@query()
+def modularity_communities(spark, sf_dir):
+    return centrality.modularity_communities(_stored(spark, sf_dir))[0]
+
+
+@query()
+def betweenness(spark, sf_dir):
+    return centrality.betweenness(_stored(spark, sf_dir))
+
+
 # ---- roles, titles, formats, masters
 
 _ROLES = f"WITH {L.SQL}, roles AS (SELECT role_text, count(*) AS credits FROM credits GROUP BY 1)"
@@ -420,17 +430,20 @@ def onehop_retained(spark, sf_dir):
     return expand.retained_releases(m, expand.frontier_artists(m, _seed_releases(m), LENS), LENS)
 
 
-@query(f"WITH {_FRONTIER} SELECT release_id, track_index, credit_scope, artist_id, role_text FROM credits WHERE release_id IN (SELECT release_id FROM retained)")
+@query(f"WITH {_FRONTIER} SELECT c.release_id, track_index, credit_scope, artist_id, role_text FROM credits c SEMI JOIN retained USING (release_id)")
 def onehop_credits(spark, sf_dir):
     m = _model(spark, sf_dir)
     return expand.expand_one_hop(m, _seed_releases(m), LENS).model.credits.select("release_id", "track_index", "credit_scope", "artist_id", "role_text")
 
 
-@query("SELECT 0::BIGINT AS orphan_credits, 0::BIGINT AS orphan_formats, 0::BIGINT AS unanchored_releases, 0::BIGINT AS lost_seeds")
+@query(f"""WITH {_FRONTIER}, kept AS (SELECT c.* FROM credits c SEMI JOIN retained USING (release_id)), anchored AS (SELECT DISTINCT k.release_id FROM kept k SEMI JOIN frontier USING (artist_id) WHERE {_PERFORMER_CREDIT})
+SELECT (SELECT count(*) FROM kept ANTI JOIN (SELECT release_id FROM releases SEMI JOIN retained USING (release_id)) USING (release_id)) AS orphan_credits,
+(SELECT count(*) FROM (SELECT f.* FROM release_formats f SEMI JOIN retained USING (release_id)) ANTI JOIN (SELECT release_id FROM releases SEMI JOIN retained USING (release_id)) USING (release_id)) AS orphan_formats,
+(SELECT count(*) FROM (SELECT release_id FROM releases SEMI JOIN retained USING (release_id)) ANTI JOIN anchored USING (release_id)) AS unanchored_releases,
+(SELECT count(*) FROM seed ANTI JOIN retained USING (release_id)) AS lost_seeds""")
 def onehop_selfcheck(spark, sf_dir):
     m = _model(spark, sf_dir)
-    c = expand.expand_one_hop(m, _seed_releases(m), LENS)
-    return expand.self_check(expand.Corpus(c.model, c.frontier, c.seeds.join(c.model.releases, "release_id", "left_semi")), LENS)
+    return expand.self_check(expand.expand_one_hop(m, _seed_releases(m), LENS), LENS)
 
 
 @query(f"WITH {L.SQL} SELECT release_id FROM releases WHERE release_id IN (SELECT release_id FROM credits WHERE artist_id IN (5, 10, 15) AND {_PERFORMER_CREDIT})")
@@ -570,8 +583,9 @@ def evidence_registry(spark, sf_dir):
     return rank.evidence_registry(edges.credit_edges(m, LENS), m, LENS, formats.release_caveats(m, LENS))
 
 
-@query(f"""WITH {L.SQL}, claimed AS (SELECT release_id, artist_id, credit_scope, CASE WHEN release_id % 10 = 0 THEN 'absent' ELSE role_text END AS role_text, track_index FROM credits)
-SELECT * FROM claimed c WHERE NOT EXISTS (SELECT 1 FROM credits k WHERE k.release_id = c.release_id AND k.artist_id = c.artist_id AND k.credit_scope = c.credit_scope AND k.role_text IS NOT DISTINCT FROM c.role_text AND k.track_index IS NOT DISTINCT FROM c.track_index)""")
+@query(f"""WITH {L.SQL}, claimed AS (SELECT release_id, artist_id, credit_scope, CASE WHEN release_id % 10 = 0 THEN 'absent' ELSE role_text END AS role_text, track_index FROM credits),
+held AS (SELECT DISTINCT release_id, artist_id, credit_scope, coalesce(role_text, '\x01') AS role, coalesce(track_index, -1) AS track FROM credits)
+SELECT c.* FROM claimed c ANTI JOIN held k ON k.release_id = c.release_id AND k.artist_id = c.artist_id AND k.credit_scope = c.credit_scope AND k.role = coalesce(c.role_text, '\x01') AND k.track = coalesce(c.track_index, -1)""")
 def missing_evidence(spark, sf_dir):
     c = _model(spark, sf_dir).credits
     claimed = c.select("release_id", "artist_id", "credit_scope", F.when(F.col("release_id") % 10 == 0, "absent").otherwise(F.col("role_text")).alias("role_text"), "track_index")
@@ -610,6 +624,28 @@ def scope_tiers(spark, sf_dir):
     return analyses.scope_tiers(m, m.credits.select("artist_id").distinct(), LENS)
 
 
+@query(f"""WITH RECURSIVE {_EDGES}, held AS (SELECT DISTINCT artist_id AS seed, release_id FROM credits WHERE artist_id > 0),
+alone AS (SELECT release_id, count(DISTINCT artist_id) AS n, min(artist_id) AS o FROM credits WHERE credit_scope = 'release_artist' AND artist_id > 0 GROUP BY 1),
+j AS (SELECT seed, h.release_id, coalesce(n = 1 AND o = seed, FALSE) AS alone, master_is_main_release AS main FROM held h LEFT JOIN alone a ON a.release_id = h.release_id JOIN releases r ON r.release_id = h.release_id),
+tier AS (SELECT seed, release_id, 'a' AS tier FROM j UNION ALL SELECT seed, release_id, 'b' FROM j WHERE alone UNION ALL SELECT seed, release_id, 'c' FROM j WHERE alone AND main),
+per AS (SELECT seed, tier, count(DISTINCT c.release_id) AS releases, count(*) AS credits, count(DISTINCT artist_id) AS contributors, round(avg(CASE WHEN len([z for z in {_CATS} if z <> 'unknown']) > 0 THEN 1.0 ELSE 0.0 END), 4) AS classified_share FROM tier t JOIN credits c ON c.release_id = t.release_id GROUP BY 1, 2),
+e AS (SELECT DISTINCT seed, tier, least(a, b) AS x, greatest(a, b) AS y FROM tier t JOIN directed d ON d.release_id = t.release_id),
+ed AS (SELECT seed, tier, count(*) AS edges FROM e GROUP BY 1, 2),
+w AS (SELECT seed, tier, x, y FROM e UNION ALL SELECT seed, tier, y, x FROM e),
+label(seed, tier, node, root) USING KEY (seed, tier, node) AS (
+  SELECT DISTINCT seed, tier, x, x FROM w
+  UNION SELECT w.seed, w.tier, w.y, min(l.root) FROM label l JOIN w ON w.seed = l.seed AND w.tier = l.tier AND w.x = l.node JOIN recurring.label r ON r.seed = w.seed AND r.tier = w.tier AND r.node = w.y WHERE l.root < r.root GROUP BY 1, 2, 3),
+sizes AS (SELECT seed, tier, root, count(*) AS n FROM label GROUP BY 1, 2, 3),
+forms AS (SELECT seed, tier, CAST(sum(n) AS BIGINT) AS nodes, count(*) AS components, max(n) AS largest FROM sizes GROUP BY 1, 2),
+every AS (SELECT DISTINCT artist_id AS seed, t.tier FROM credits, (SELECT unnest(['a', 'b', 'c']) AS tier) t)
+SELECT v.seed AS artist_id, v.tier, coalesce(releases, 0) AS releases, coalesce(credits, 0) AS credits, coalesce(contributors, 0) AS contributors, coalesce(classified_share, 0.0) AS classified_share, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges,
+coalesce(components, 0) AS components, coalesce(largest, 0) AS largest, coalesce(components = 1 AND edges = nodes - 1, FALSE) AS star
+FROM every v LEFT JOIN per p ON p.seed = v.seed AND p.tier = v.tier LEFT JOIN ed ON ed.seed = v.seed AND ed.tier = v.tier LEFT JOIN forms s ON s.seed = v.seed AND s.tier = v.tier""")
+def tier_graphs(spark, sf_dir):
+    m = _model(spark, sf_dir)
+    return analyses.tier_graphs(m, edges.directed_edges(m, LENS), m.credits.select("artist_id").distinct(), LENS)
+
+
 @query(f"""WITH {L.SQL}, g AS (SELECT DISTINCT artist_id, related_artist_id AS group_id FROM artist_relations WHERE relation = 'member_of' UNION SELECT related_artist_id, artist_id FROM artist_relations WHERE relation = 'has_member')
 SELECT DISTINCT x.artist_id AS a, y.artist_id AS b FROM g x JOIN g y USING (group_id) WHERE x.artist_id < y.artist_id""")
 def family_exclusions(spark, sf_dir):

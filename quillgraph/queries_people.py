@@ -34,9 +34,8 @@ idx AS (SELECT artist_id, coalesce(kinds, ['unknown']) AS kinds, role_texts, alb
 
 def _index(spark, sf_dir):
     m = _model(spark, sf_dir)
-    d = edges.directed_edges(m, LENS).where("artist_a_id < artist_b_id").select("artist_a_id", "artist_b_id", "release_id")
-    reverse = edges.directed_edges(m, LENS).where("artist_a_id > artist_b_id").select(F.col("artist_b_id").alias("artist_a_id"), F.col("artist_a_id").alias("artist_b_id"), "release_id")
-    hops = d.unionByName(reverse).distinct().join(m.releases.select("release_id", F.col("master_id").alias("album_a"), F.col("master_id").alias("album_b")), "release_id")
+    pair = F.least("artist_a_id", "artist_b_id").alias("artist_a_id"), F.greatest("artist_a_id", "artist_b_id").alias("artist_b_id")
+    hops = edges.directed_edges(m, LENS).select(*pair, "release_id").distinct().join(m.releases.select("release_id", F.col("master_id").alias("album_a"), F.col("master_id").alias("album_b")), "release_id")
     return contributors.contributor_index(materialize(hops, "hops"), m, LENS)
 
 
