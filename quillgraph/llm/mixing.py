@@ -170,13 +170,14 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     as every document's inclusion probability, by the cube method, balanced on words and documents. Chunks of a source
     fly independently (in order of falling size, so that small documents remain); what they leave undecided flies again
     until one chunk per source is left, whose last documents (LANDING and two) land on the nearest word total. Chance is a hash of
-    doc_id, so reruns agree. The driver holds one size and target per source.
-    Null texts have size 0, null sources are a source. Repeated rows are separate documents. An empty table gives an
-    empty result.
+    doc_id, text and, among rows equal in both, a number; the order is total up to such rows, so reruns agree whatever the order of
+    the rows and their partitions. The driver holds one size and target per source.
+    Null texts have size 0, null sources are a source. Repeated rows and those of clashing or null doc_ids are separate documents. An
+    empty table gives an empty result.
     """
-    key = [text_key().alias("node")] if keys else []
-    rows = materialize(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), *key), "sizes")
-    known = {r["source"]: (int(r["size"]), r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
+    rows = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_key().alias("node"))
+    rows = materialize(rows.groupBy("doc_id", "source", "size", "node").agg(F.count(F.lit(1)).alias("_rows")), "sizes")
+    known = {r["source"]: (int(r["size"]), r["n"]) for r in rows.groupBy("source").agg(F.sum(F.col("size") * F.col("_rows")).alias("size"), F.sum("_rows").alias("n")).collect()}
     spark = documents.sparkSession
     goal = targets({s: v[0] for s, v in known.items()}, weights, most)
     plan = []
@@ -187,12 +188,18 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
         plan.append((s, i, size, goal[s], base, fraction, max(1, -(-n // CHUNK))))
     schema = "_source string, _s int, source_size long, target double, _base int, _p double, _chunks int"
     sources = spark.createDataFrame(plan, schema)
-    units = rows.join(small(sources, len(plan)), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
+    units = rows.join(small(sources, len(plan)), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    # equal rows get numbers, blocks of them first, so that many equal ones are not written by one task
+    units = units.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_rows") - 1) / CHUNK))))
+    if rows.where(F.col("_rows") > CHUNK).limit(1).count():
+        units = units.repartition("doc_id", "node", "_block")
+    last = F.least(F.col("_rows"), (F.col("_block") + 1) * CHUNK) - 1
+    units = units.withColumn("_i", F.explode(F.sequence(F.col("_block") * CHUNK, last))).withColumn("_h", F.xxhash64("doc_id", "node", "_i", F.lit(seed))).drop("_block", "_i", "_rows")
     decided = None
     level = 0
     while True:
         salted = units.withColumn("_chunk", F.pmod(F.xxhash64("_h", "size", F.lit(level)), F.col("_chunks")).cast("int"))
-        ordered = salted.repartition("_s", "_chunk").sortWithinPartitions("_s", "_chunk", F.desc("size"), "_h", "doc_id")
+        ordered = salted.repartition("_s", "_chunk").sortWithinPartitions("_s", "_chunk", F.desc("size"), "_h", "doc_id", "node")
         flown = materialize(map_batches(ordered, _fly(ordered.columns), ordered.schema), "flown")
         done = flown.where("_p = 0 or _p = 1")
         decided = done if decided is None else decided.unionByName(done)

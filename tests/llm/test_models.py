@@ -83,6 +83,20 @@ def test_mix_is_balanced_and_reproducible(spark, monkeypatch, chunk):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(7)).collect()))
 
 
+def test_mix_of_clashing_ids_agrees_on_reruns(spark):
+    """Null and repeated doc_ids, texts that repeat, and fully equal rows: each row gets the same copies in any order and partitioning."""
+    r = random.Random(3)
+    rows = [(i % 150 if i % 3 else None, " ".join(["w"] * r.randrange(1, 60)) + f" {i % 90}", "en", "abc"[i % 3 if i % 5 else 0], 1) for i in range(600)] + [(7, "same text here", "en", "b", 1)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    one = sorted(map(str, mixing.mix_sources(docs, keys=True).collect()))
+    for order in (1, 2):
+        r.shuffle(rows)
+        again = spark.createDataFrame(rows, docs.schema).repartition(3 * order)
+        assert sorted(map(str, mixing.mix_sources(again, keys=True).collect())) == one
+    taken = sorted(map(str, mixing.mix_documents(docs).collect()))
+    assert taken == sorted(map(str, mixing.mix_documents(again).collect()))
+
+
 def test_mix_of_odd_tables(spark, odd, empty):
     got = mixing.mix_sources(odd).collect()
     want = sorted((str(r.doc_id), len(re.findall("[^\x20\x09-\x0d]+", r.text or ""))) for r in odd.collect())
