@@ -7,7 +7,10 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.sources.scratch import materialize, scratch_root
+from quillgraph.operators.components import components
+from quillgraph.sources.scratch import discard, materialize
+
+__all__ = ["Buckets", "components", "discard", "id_order", "map_batches", "materialize", "place", "small"]
 
 #: Rows up to which a narrow side (ids and a few numbers, under 100 bytes a row, so 20 MB) is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -48,17 +51,6 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(tidied, schema)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized frame that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = scratch_root(spark)
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root.split("://")[-1].strip("/") + "/" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a materialized narrow frame only if its counted rows are within the limit; else leave it to a shuffled join."""
     n = df.count() if rows is None else rows
@@ -127,45 +119,3 @@ class Buckets:
         """Rows in all earlier buckets, by bucket column `_b`."""
         sums = [0, *itertools.accumulate(self.counts)][:-1]
         return F.get(F.from_json(F.lit(str(sums)), "array<bigint>"), F.col("_b"))
-
-
-#: Edges from which on components joins nodes of many edges apart from the others, and the share of all edges that makes a node hot.
-SPLIT_EDGES, HOT_SHARE = 200_000, 1 / 1000
-
-
-def _least_neighbours(edges: DataFrame, least: DataFrame, count: int) -> DataFrame:
-    """edges(a, b) with m, the value of their a in least(a, m, n). Few edges: least is broadcast (at most one row an edge).
-    Else the nodes with over a thousandth of all edges (at most 2,000 of them) are broadcast, so that no task gets all edges
-    of a hot node, and the others are shuffled."""
-    if count <= SPLIT_EDGES:
-        return edges.join(F.broadcast(least.drop("n")), "a")
-    hot = least.where(F.col("n") > max(int(count * HOT_SHARE), 1)).drop("n")
-    apart = edges.join(F.broadcast(hot), "a")
-    return edges.join(F.broadcast(hot.select("a")), "a", "left_anti").join(least.drop("n"), "a").unionByName(apart)
-
-
-def components(links: DataFrame, name: str) -> DataFrame:
-    """Connected components of links(a, b): node, root (the smallest node of its component). Nodes without links are absent.
-
-    Alternates large-star and small-star steps; each round is written to the shared folder, and hot nodes are handled
-    by aggregate and join rather than by collecting neighbours.
-    """
-    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
-    before, count = None, edges.count()
-    while count:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = _least_neighbours(both, low, 2 * count).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        star = _least_neighbours(large, least, 2 * count)
-        after = star.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b")
-        after = materialize(after.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
-        state = tuple(after.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first())
-        discard(edges)
-        edges, count = after, state[0]
-        if state == before:
-            break
-        before = state
-    leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return leaves.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.llm import common, lines, linesketch, minhash, vectors
+from quillgraph.operators import components as core_components
 from tests.llm.conftest import DOCUMENTS, words
 
 
@@ -152,7 +153,14 @@ def test_lines_equal_brute_force(spark):
     cleaned = {r.doc_id: r.text for r in lines.without_repeated_lines(_documents(spark, docs)).collect()}
     for d, t in enumerate(docs):
         left = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[d])
-        assert cleaned.get(d) == (left if not want[d] or re.search(r"\w", left) else None)
+        assert cleaned.get(d) == (left if not want[d] or left.strip() else None)
+
+
+def test_documents_with_a_line_left_stay(spark):
+    line = words(3, 20)
+    docs = [line, f"{line}\n----\n***", f"{line}\n \n\t", f"{line}\n。"]
+    kept = {r.doc_id: r.text for r in lines.without_repeated_lines(_documents(spark, docs)).collect()}
+    assert kept == {0: line, 1: "----\n***", 3: "。"}
 
 
 @pytest.mark.parametrize("part, sparse", [(512, 8), (512, -1), (7, -1), (7, 8)])
@@ -166,8 +174,8 @@ def test_dense_blocks_equal_brute_force(spark, monkeypatch, part, sparse):
 
 
 def test_components_with_hot_nodes(spark, monkeypatch):
-    monkeypatch.setattr(common, "SPLIT_EDGES", 0)
-    monkeypatch.setattr(common, "HOT_SHARE", 0.05)
+    monkeypatch.setattr(core_components, "SPLIT_EDGES", 0)
+    monkeypatch.setattr(core_components, "HOT_SHARE", 0.05)
     r = random.Random(1)
     edges = [(0, i) for i in range(1, 120)] + [(r.randrange(200, 400), r.randrange(200, 400)) for _ in range(150)] + [(119, 500)]
     root = _components(501, edges)
@@ -259,6 +267,7 @@ def _vector_brute(ids, vecs):
 @pytest.mark.parametrize("home", [4096, 37])
 def test_vectors_equal_brute_force(spark, monkeypatch, home):
     monkeypatch.setattr(vectors, "HOME", home)
+    monkeypatch.setattr(vectors, "GROUP", 1)
     r = np.random.default_rng(4)
     centres = r.normal(size=(25, 12))
     vecs = [(centres[i % 25] + 0.25 * r.normal(size=12)).astype("f4").tolist() for i in range(500)] + [r.normal(size=12).astype("f4").tolist() for _ in range(60)]
@@ -271,6 +280,29 @@ def test_vectors_equal_brute_force(spark, monkeypatch, home):
     assert all(x.kept == (x.vec_id == x.component_id) for x in got.values())
 
 
+def test_cells_rule_out_pairs_of_clustered_vectors():
+    """Several cells whatever the number of cores, and most pairs of far clusters are never compared."""
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(40, 16))
+    u = np.concatenate([c + 0.02 * r.normal(size=(50, 16)) for c in centres])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    n = len(u)
+    assert [vectors._pivots(k) for k in (1000, 4000, 16000)] == [16, 32, 64]
+    pivots = u[r.permutation(n)[: vectors._pivots(n)]]
+    angles = vectors._angles(u, pivots)
+    home = angles.argmin(1)
+    radius, counts = np.zeros(len(pivots)), np.bincount(home, minlength=len(pivots))
+    np.maximum.at(radius, home, angles.min(1))
+    reach = float(np.arccos(0.95))
+    may = vectors._possible(angles, radius, reach)
+    assert (may @ counts).sum() < 0.5 * n * n
+    for i in range(0, n, 97):
+        assert may[i, home[u @ u[i] >= 0.95]].all()
+    first, parts = vectors._groups(counts, 300)
+    held = np.bincount(first, weights=np.where(parts == 1, counts, 0))
+    assert held.max() <= 300 and len(np.unique(first)) > 4 and (np.diff(first) >= 0).all()
+
+
 def test_vectors_of_odd_tables(spark):
     assert vectors.near_vectors(_vectors(spark, [])).count() == 0
     assert vectors.near_vectors(_vectors(spark, [(1, None, 0, "k", 1)])).collect()[0].n_links == 0
