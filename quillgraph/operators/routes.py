@@ -9,17 +9,41 @@ from quillgraph.operators.edges import degrees, window_rank
 from quillgraph.sources.scratch import materialize
 
 
-def csr(edges: DataFrame) -> DataFrame:
-    """Compressed adjacency: node, offset into the neighbour array, degree, sorted neighbours (as text).
-
-    Offsets are a running sum by node over blocks of nodes: block totals first, so that no task sums all nodes.
-    """
-    near = edges.groupBy(F.col("artist_a_id").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.array_join(F.transform(F.sort_array(F.collect_list("artist_b_id")), lambda x: x.cast("string")), ",").alias("neighbours"))
+def _with_offsets(near: DataFrame) -> DataFrame:
+    """near (node, degree) with offset, the sum of the degrees of all lower nodes: block totals first, so that no task sums all nodes."""
     near = near.withColumn("_block", F.floor(F.col("node") / 4096))
     blocks = near.groupBy("_block").agg(F.sum("degree").alias("_total"))
     blocks = blocks.withColumn("_start", F.sum("_total").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))).select("_block", F.coalesce("_start", F.lit(0)).alias("_start"))
     inside = F.coalesce(F.sum("degree").over(Window.partitionBy("_block").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return near.withColumn("_in", inside).join(F.broadcast(blocks), "_block").select("node", (F.col("_start") + F.col("_in")).cast("long").alias("offset"), "degree", "neighbours")
+    return near.withColumn("_in", inside).join(blocks, "_block").withColumn("offset", (F.col("_start") + F.col("_in")).cast("long")).drop("_block", "_in", "_start")
+
+
+def csr(edges: DataFrame) -> DataFrame:
+    """Compressed adjacency: node, offset into the neighbour array, degree, sorted neighbours (as text)."""
+    near = edges.groupBy(F.col("artist_a_id").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.array_join(F.transform(F.sort_array(F.collect_list("artist_b_id")), lambda x: x.cast("string")), ",").alias("neighbours"))
+    return _with_offsets(near).select("node", "offset", "degree", "neighbours")
+
+
+def csr_failures(graph: DataFrame) -> DataFrame:
+    """What is wrong with a compressed adjacency (failure, node), each rule a set operation over all nodes: nodes that come twice,
+    degrees and offsets that do not add up, neighbours that are unsorted, repeated, unknown, the node itself or without a way
+    back, and anchors (negative nodes) beside each other. A sound graph gives no rows."""
+    g = graph.select("node", "offset", "degree", F.transform(F.filter(F.split(F.coalesce("neighbours", F.lit("")), ","), lambda x: x != ""), lambda x: x.cast("long")).alias("near"))
+    g = materialize(g, "csr")
+    said = lambda df, why: df.select(F.lit(why).alias("failure"), "node")
+    slots = g.select("node", F.explode("near").alias("to")).distinct()
+    back = slots.select(F.col("to").alias("node"), F.col("node").alias("to"))
+    once = g.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("degree").alias("degree"), F.min("offset").alias("said"))
+    return (
+        said(once.where("n > 1"), "node comes twice")
+        .unionByName(said(g.where(F.col("degree") != F.size("near")), "degree is not the number of neighbours"))
+        .unionByName(said(_with_offsets(once.select("node", "degree", "said")).where("offset <> said"), "offset is not the sum of the degrees before"))
+        .unionByName(said(g.where(F.col("near") != F.sort_array(F.array_distinct("near"))), "neighbours are not sorted and distinct"))
+        .unionByName(said(slots.where("node = to"), "node is its own neighbour"))
+        .unionByName(said(slots.join(g.select(F.col("node").alias("to")).distinct(), "to", "left_anti"), "neighbour is no node"))
+        .unionByName(said(slots.join(back, ["node", "to"], "left_anti"), "edge has no way back").distinct())
+        .unionByName(said(slots.where("node < 0 AND to < 0"), "anchors are neighbours").distinct())
+    )
 
 
 def distances_to(edges: DataFrame, target: DataFrame, hops: int) -> DataFrame:

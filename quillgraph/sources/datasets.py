@@ -6,7 +6,6 @@ import hashlib
 import json
 import os
 import re
-import shutil
 import uuid
 from collections.abc import Callable, Iterable
 from pathlib import Path
@@ -14,8 +13,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.sources.scratch import materialize
+
 SCHEMA_VERSION = 3
 
+#: Rows of a file at most: files are hashed whole by one task each, which 2 GB would be too much for.
+FILE_ROWS = 20_000_000
+
 
 class DatasetError(RuntimeError):
     """A dataset is missing, incomplete or not what its manifest says."""
@@ -48,6 +52,62 @@ def with_stable_id(df: DataFrame, columns: list[str], name: str, length: int = 1
     return df.withColumn(name, F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256), 1, length))
 
 
+class Store:
+    """A folder on any file system that Spark reads, as the driver sees it: names, sizes, small files and renames only."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, jvm = spark, spark.sparkContext._jvm
+        self._path, self._jvm, self.root = jvm.org.apache.hadoop.fs.Path, jvm, root.rstrip("/")
+        self.fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def at(self, name: str):
+        return self._path(f"{self.root}/{name}" if name else self.root)
+
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self.at(name))
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.at(name), True)
+
+    def rename(self, old: str, new: str) -> None:
+        """One rename; the new name must not be taken."""
+        if self.exists(new) or not self.fs.rename(self.at(old), self.at(new)):
+            raise OSError(f"cannot move {self.root}/{old} to {new}")
+
+    def write_text(self, name: str, text: str) -> None:
+        """A whole file or none: written beside its place and renamed, over an older one if there is one."""
+        staged, at = f"{name}.{uuid.uuid4().hex}.tmp", self.at(name)
+        out = self.fs.create(self.at(staged), True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        if self.fs.exists(at):
+            self.fs.delete(at, False)
+        self.rename(staged, name)
+
+    def read_text(self, name: str) -> str:
+        stream = self.fs.open(self.at(name))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def drop_checksums(self, name: str) -> None:
+        """Delete the checksum files that a local file system keeps beside others: the manifest's digests take their place."""
+        if self.fs.getUri().getScheme() == "file":
+            found = self.fs.getRawFileSystem().listFiles(self.at(name), True)
+            while found.hasNext():
+                path = found.next().getPath()
+                if path.getName().endswith(".crc"):
+                    self.fs.getRawFileSystem().delete(path, False)
+
+    def files(self, name: str = "") -> DataFrame:
+        """path (below the folder), bytes and sha256 of its Parquet files. Contents are read and hashed by the tasks, a file each."""
+        found = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{self.root}/{name}" if name else self.root)
+        return found.select(F.regexp_extract("path", r"(table=[^/]+/[^/]+)$", 1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def write_json(value, path: str) -> None:
     """One JSON file, complete or not at all."""
     target = Path(path)
@@ -57,64 +117,63 @@ def write_json(value, path: str) -> None:
     os.replace(staged, target)
 
 
-def write_dataset(tables: dict[str, DataFrame], root: str, snapshot_date: str, order: dict[str, list[str]] | None = None, overwrite: bool = False, **facts) -> dict:
+def write_dataset(tables: dict[str, DataFrame], root: str, snapshot_date: str, order: dict[str, list[str]] | None = None, overwrite: bool = False, file_rows: int = FILE_ROWS, **facts) -> dict:
     """Writes tables as Parquet (zstd) beside each other under snapshot=<date>, with a manifest of rows, bytes and sha256 of each
     file, and publishes the whole by one rename. Tables with an order are range-partitioned and sorted by it (null last), so
-    that the files in sequence are the sorted table. The manifest is for a file system the driver sees."""
+    that the files in sequence are the sorted table. `root` is a folder on any file system that Spark reads; files hold file_rows
+    at most, so that one task can hash one. A snapshot that is replaced is moved aside first, and back if the new one cannot
+    take its place."""
     if not re.fullmatch(r"\d{4}-?\d{2}-?\d{2}", snapshot_date):
         raise ValueError(f"not a snapshot date: {snapshot_date}")
-    final = Path(root) / f"snapshot={snapshot_date}"
-    if final.exists() and not overwrite:
-        raise FileExistsError(final)
-    staged = Path(root) / f".snapshot={snapshot_date}.{uuid.uuid4().hex}"
-    files, rows = [], {}
+    spark = next(iter(tables.values())).sparkSession
+    store, final, staged = Store(spark, root), f"snapshot={snapshot_date}", f".snapshot={snapshot_date}.{uuid.uuid4().hex}"
+    if store.exists(final) and not overwrite:
+        raise FileExistsError(f"{root}/{final}")
+    rows = {}
     try:
         for name, df in tables.items():
             by = [F.col(c).asc_nulls_last() for c in (order or {}).get(name, [])]
             out = df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
-            out.write.option("compression", "zstd").parquet(f"file://{staged}/table={name}")
-            rows[name] = df.sparkSession.read.schema(df.schema).parquet(f"file://{staged}/table={name}").count()
-            for p in (staged / f"table={name}").glob(".*.crc"):  # the manifest's digests take their place
-                p.unlink()
-            for p in sorted((staged / f"table={name}").glob("*.parquet")):
-                files.append({"table": name, "path": str(p.relative_to(staged)), "bytes": p.stat().st_size, "sha256": sha256_file(p)})
+            out.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(f"{store.root}/{staged}/table={name}")
+            rows[name] = spark.read.schema(df.schema).parquet(f"{store.root}/{staged}/table={name}").count()
+        files = [{"table": r["path"].split("/")[0].removeprefix("table="), "path": r["path"], "bytes": r["bytes"], "sha256": r["sha256"]} for r in store.files(staged).orderBy("path").collect()]
         manifest = {"schema_version": SCHEMA_VERSION, "snapshot_date": snapshot_date, "rows": rows, "files": files} | facts
-        write_json(manifest, str(staged / "manifest.json"))
-        aside = Path(root) / f".snapshot={snapshot_date}.{uuid.uuid4().hex}.old"
-        if final.exists():
-            os.replace(final, aside)  # put back below if the new one cannot take its place
+        store.write_text(f"{staged}/manifest.json", json.dumps(manifest, indent=2, sort_keys=True, ensure_ascii=False) + "\n")
+        store.drop_checksums(staged)
+        aside = f".snapshot={snapshot_date}.{uuid.uuid4().hex}.old"
+        if store.exists(final):
+            store.rename(final, aside)
         try:
-            os.replace(staged, final)
-        except OSError:
-            if aside.exists():
-                os.replace(aside, final)
+            store.rename(staged, final)
+        except Exception:
+            if store.exists(aside):
+                store.rename(aside, final)
             raise
-        shutil.rmtree(aside, ignore_errors=True)
+        store.delete(aside)
     finally:
-        shutil.rmtree(staged, ignore_errors=True)
+        store.delete(staged)
     return manifest
 
 
-def read_manifest(root: str) -> dict:
-    path = Path(root) / "manifest.json"
-    if not path.is_file():
+def read_manifest(spark: SparkSession, root: str) -> dict:
+    store = Store(spark, root)
+    if not store.exists("manifest.json"):
         raise DatasetError(f"{root} has no manifest")
-    return json.loads(path.read_text(encoding="utf-8"))
+    return json.loads(store.read_text("manifest.json"))
 
 
 def verify_dataset(spark: SparkSession, root: str) -> DataFrame:
-    """Files that are missing, changed or not in the manifest (path, problem); contents are hashed on the executors."""
-    manifest = read_manifest(root)
+    """Files that are missing, changed or not in the manifest (path, problem); contents are hashed by the tasks."""
+    manifest = read_manifest(spark, root)
     said = spark.createDataFrame([(f["path"], f["bytes"], f["sha256"]) for f in manifest["files"]], "path string, bytes long, sha256 string")
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"file://{root}")
-    found = found.select(F.regexp_extract("path", r"(table=[^/]+/[^/]+)$", 1).alias("path"), F.col("length").alias("_bytes"), F.sha2("content", 256).alias("_sha"))
+    found = Store(spark, root).files().withColumnsRenamed({"bytes": "_bytes", "sha256": "_sha"})
     problem = F.when(F.col("_bytes").isNull(), "missing").when(F.col("bytes").isNull(), "not in the manifest").when(F.col("bytes") != F.col("_bytes"), "size").when(F.col("sha256") != F.col("_sha"), "sha256")
     return said.join(found, "path", "full_outer").select("path", problem.alias("problem")).where("problem IS NOT NULL")
 
 
 def migrate_dataset(spark: SparkSession, root: str, out: str, name: str, table: DataFrame, read: Callable[[SparkSession, str, str], DataFrame]) -> dict:
     """A copy of a dataset with one table added or replaced."""
-    old = read_manifest(root)
+    old = read_manifest(spark, root)
     tables = {t: read(spark, root, t) for t in old["rows"] if t != name}
     return write_dataset(tables | {name: table}, out, old["snapshot_date"], migrated_from=content_hash(old))
 
@@ -151,6 +210,49 @@ def artifact_diff(old, new, at: str = "$") -> list[tuple[str, str]]:
     return [] if old == new else [(at, "value")]
 
 
+def artifact_rows(artifacts: DataFrame, column: str = "artifact") -> DataFrame:
+    """The values of JSON artifacts (one text a row, or a variant) by path: the other columns, path, kind (type) and value (text; null
+    for objects and arrays). Each level of nesting is one explosion of all rows that are open, so a large artifact is not read
+    by one task alone, and none by the driver."""
+    keep = [c for c in artifacts.columns if c != column]
+    text = dict(artifacts.dtypes)[column] == "string"
+    level = materialize(artifacts.select(*keep, F.lit("$").alias("path"), (F.parse_json(column) if text else F.col(column)).alias("_v")), "artifact")
+    out = None
+    while True:
+        kind = F.regexp_extract(F.schema_of_variant("_v"), r"^[A-Z]+", 0)
+        typed = level.withColumn("kind", F.when(F.col("_v").isNull() | (kind == "VOID"), "null").when(kind == "OBJECT", "object").when(kind == "ARRAY", "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT"), "integer").otherwise("fraction"))
+        nested = F.col("kind").isin("object", "array")
+        rows = typed.select(*keep, "path", "kind", F.when(~nested, F.try_variant_get("_v", "$", "string")).alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+        open_ = typed.where(nested)
+        name = F.when(F.col("_of") == "object", F.concat("path", F.lit("."), "key")).otherwise(F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        inner = open_.withColumnRenamed("kind", "_of").lateralJoin(open_.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+        level = materialize(inner.select(*keep, name.alias("path"), F.col("value").alias("_v")), "artifact")
+        if not level.limit(1).count():
+            return out
+
+
+def artifact_changes(old: DataFrame, new: DataFrame, column: str = "artifact") -> DataFrame:
+    """Paths at which two artifacts (one-row frames) differ, with the kind of difference, as artifact_diff finds them: type, value,
+    removed, added, or the lengths of arrays. Below a path that is there on one side only, or of another type, nothing is listed."""
+    sides = []
+    for df in (old, new):
+        rows = materialize(artifact_rows(df.select(column), column), "artifact-rows")
+        sizes = rows.where(F.col("path").endswith("]")).groupBy(F.regexp_extract("path", r"^(.*)\[[0-9]+\]$", 1).alias("path")).agg(F.count(F.lit(1)).alias("size"))
+        sides.append(rows.join(sizes, "path", "left").withColumn("size", F.coalesce("size", F.lit(0))))
+    o, n = (x.select("path", *[F.col(c).alias(f"{c}_{k}") for c in ("kind", "value", "size")]) for x, k in zip(sides, "on", strict=True))
+    both = o.join(n, "path", "full_outer")
+    arrays = (F.col("kind_o") == "array") & (F.col("kind_n") == "array") & (F.col("size_o") != F.col("size_n"))
+    change = F.when(F.col("kind_o").isNull(), "added").when(F.col("kind_n").isNull(), "removed").when(F.col("kind_o") != F.col("kind_n"), "type")
+    change = change.when(arrays, F.concat(F.lit("length "), F.col("size_o").cast("string"), F.lit(" -> "), F.col("size_n").cast("string"))).when(~F.col("value_o").eqNullSafe(F.col("value_n")), "value")
+    found = materialize(both.select("path", change.alias("change")).where("change IS NOT NULL"), "artifact-changes")
+    # what lies under a path that is new, gone or of another type goes with it, and places beyond the end of an array with its length
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.length("path") - 1, F.lit(1))), lambda i: F.when(F.substring("path", i + 1, F.lit(1)).isin(".", "["), F.substring(F.col("path"), F.lit(1), i)))
+    under = found.select("path", F.explode(F.array_compact(above)).alias("_up")).join(found.where("change IN ('added', 'removed', 'type')").select(F.col("path").alias("_up")), "_up", "left_semi").select("path").distinct()
+    beyond = F.col("path").endswith("]") & F.col("change").isin("added", "removed")
+    return found.where(~beyond).join(under, "path", "left_anti")
+
+
 def artifact_report(old: dict, new: dict) -> dict:
     """What changed between two artifacts: whether they are identical, the fields of versions that differ, and all differences."""
     if content_hash(old) == content_hash(new):
@@ -164,6 +266,7 @@ def dump_manifest(snapshot: str, base: str, kinds: tuple[str, ...] = ("artists",
     """Where the dumps of a snapshot (YYYYMMDD) lie: kind, file name and address under the base."""
     if not re.fullmatch(r"\d{8}", snapshot):
         raise ValueError(f"not a snapshot: {snapshot}")
+    # fixed values: the publisher's file names
     names = {k: f"discogs_{snapshot}_{k}.xml.gz" for k in kinds}
     return [{"kind": k, "file": n, "url": f"{base.rstrip('/')}/{snapshot[:4]}/{n}"} for k, n in names.items()]
 

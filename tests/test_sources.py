@@ -6,7 +6,7 @@ from datetime import date
 
 import pytest
 
-from quillgraph.operators import selection
+from quillgraph.operators import routes, selection
 from quillgraph.sources import datasets, html, tables
 
 RELEASE = """<releases>
@@ -85,6 +85,54 @@ def test_datasets(spark, tmp_path):
     assert row.id == datasets.stable_id([1, "x"])
 
 
+def test_dataset_on_a_store_that_only_spark_opens(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.data.link./d", f"file://{tmp_path}")
+    root, at = "viewfs://data/d/sets", "viewfs://data/d/sets/snapshot=2026-01-01"
+    people = spark.createDataFrame([(i, f"n{i}") for i in range(40)], "artist_id long, name string")
+    masters = spark.createDataFrame([], tables.SCHEMAS["masters"])
+    m = datasets.write_dataset({"artists": people, "masters": masters}, root, "2026-01-01", {"artists": ["artist_id"]}, file_rows=7)
+    assert m["rows"] == {"artists": 40, "masters": 0} and sum(f["table"] == "artists" for f in m["files"]) >= 6
+    assert datasets.read_manifest(spark, at) == m and datasets.verify_dataset(spark, at).count() == 0
+    relations = spark.createDataFrame([("d", 1, 2, "n", "member_of", "u")], tables.SCHEMAS["artist_relations"])
+    read = lambda s, r, t: s.read.parquet(f"{r}/table={t}")
+    more = datasets.migrate_dataset(spark, at, "viewfs://data/d/next", "artist_relations", relations, read)
+    assert more["rows"] == {"artists": 40, "masters": 0, "artist_relations": 1} and more["migrated_from"] == datasets.content_hash(m)
+    edges = spark.createDataFrame([(1, 2, 9), (2, 1, 9)], "artist_a_id long, artist_b_id long, release_id long")
+    g = datasets.export_graph(edges, people.withColumnRenamed("name", "title"), "viewfs://data/d/graphs", "2026-01-01")
+    assert g["rows"] == {"artists": 2, "edges": 1} and g["kind"] == "graph"
+    again = datasets.write_dataset({"artists": people.limit(3)}, root, "2026-01-01", overwrite=True)
+    assert again["rows"] == {"artists": 3} and datasets.verify_dataset(spark, at).count() == 0
+    store = datasets.Store(spark, root)
+    store.delete(f"snapshot=2026-01-01/{again['files'][0]['path']}")
+    assert [r.problem for r in datasets.verify_dataset(spark, at).collect()] == ["missing"]
+    with pytest.raises(datasets.DatasetError):
+        datasets.read_manifest(spark, "viewfs://data/d/none")
+
+
+def test_changes_of_artifacts_as_rows(spark):
+    old = {"a": [1, 2, {"x": 1}], "b": 1, "same": {"k": [True, None, "t"]}, "t": 1, "gone": {"deep": [1]}, "n": None, "f": 1}
+    new = {"a": [1, 3, {"x": 2}, 5], "c": {"new": [1, 2]}, "same": {"k": [True, None, "t"]}, "t": "1", "b": 1, "n": None, "f": 1.5}
+    frame = lambda v: spark.createDataFrame([(json.dumps(v),)], "artifact string")
+    got = sorted(tuple(r) for r in datasets.artifact_changes(frame(old), frame(new)).collect())
+    assert got == sorted(datasets.artifact_diff(old, new)) and len(got) == 7
+    rows = {r.path: (r.kind, r.value) for r in datasets.artifact_rows(frame(old)).collect()}
+    assert rows["$.a[2].x"] == ("integer", "1") and rows["$.same.k[1]"] == ("null", None) and rows["$.gone"] == ("object", None)
+    assert datasets.artifact_changes(frame(old), frame(old)).count() == 0
+
+
+def test_failures_of_a_compact_graph(spark):
+    good = [(-1, 0, 1, "5"), (5, 1, 2, "-1,6"), (6, 3, 1, "5")]
+    bad = {
+        "node comes twice": [*good, (6, 3, 1, "5")], "degree is not the number of neighbours": [*good[:2], (6, 3, 2, "5")], "offset is not the sum of the degrees before": [*good[:2], (6, 4, 1, "5")],
+        "neighbours are not sorted and distinct": [good[0], (5, 1, 2, "6,-1"), good[2]], "node is its own neighbour": [*good[:2], (6, 3, 2, "5,6")], "neighbour is no node": [*good[:2], (6, 3, 2, "5,9")],
+        "edge has no way back": [good[0], (5, 1, 1, "6"), (6, 2, 1, "5")], "anchors are neighbours": [(-2, 0, 1, "-1"), (-1, 1, 1, "-2")],
+    }
+    frame = lambda rows: spark.createDataFrame(rows, "node long, offset long, degree long, neighbours string")
+    assert routes.csr_failures(frame(good)).count() == 0
+    for why, rows in bad.items():
+        assert why in {r.failure for r in routes.csr_failures(frame(rows)).collect()}, why
+
+
 def test_selection_and_schedule():
     candidates = [{"id": i, "a": i % 3, "b": i % 2, "score": 10 - i, "artist_id": i % 2} for i in range(9)]
     picked = selection.greedy_diversified(candidates, ("a", "b"), 6, max_uses=3)
