@@ -104,31 +104,3 @@ def stratified_pairs(degrees: dict[int, int], count: int) -> list[tuple[int, int
             out.append((x, y))
         step += 1
     return out
-
-
-def betweenness(edges: list[tuple[int, int]], top: int = 25) -> list[tuple[int, float]]:
-    """Artists on most shortest paths of a small undirected graph (one breadth-first pass for each source)."""
-    near: dict[int, list[int]] = {}
-    for a, b in edges:
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    score = dict.fromkeys(near, 0.0)
-    for s in near:
-        order, dist, paths, before = [], {s: 0}, {s: 1.0}, {s: []}
-        queue = [s]
-        for v in queue:
-            order.append(v)
-            for w in sorted(set(near[v])):
-                if w not in dist:
-                    dist[w], paths[w], before[w] = dist[v] + 1, 0.0, []
-                    queue.append(w)
-                if dist[w] == dist[v] + 1:
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        share = dict.fromkeys(order, 0.0)
-        for w in reversed(order):
-            for v in before[w]:
-                share[v] += paths[v] / paths[w] * (1 + share[w])
-            if w != s:
-                score[w] += share[w]
-    return sorted(((v, x / 2) for v, x in score.items()), key=lambda p: (-p[1], p[0]))[:top]

@@ -10,7 +10,7 @@ from quillgraph.queries import _any, _bfs, _CAVEATS, _catalog, _EDGE_ALBUMS, _ED
 from quillgraph.sources.scratch import materialize
 
 #: Budgets low enough to stop some of the pairs of the most connected artists.
-_ROUTES, _EXPANSIONS, _REACH = 3, 4000, 60
+_ROUTES, _EXPANSIONS, _REACH, _DEGREE = 1, 300, 16, 12
 
 _ENUMERATED = f"""{_EDGES}, {_SEEDS},
 ends AS (SELECT s.artist_id AS "end", d.degree AS one, (SELECT sum(n.degree) FROM edges e JOIN degree n ON n.artist_id = e.artist_b_id WHERE e.artist_a_id = s.artist_id) AS two FROM seeds s JOIN degree d USING (artist_id)),
@@ -76,18 +76,18 @@ def detour_paths(spark, sf_dir):
     return graph.reversed_paths(graph.pair_paths(reached, materialize(scored, "scored")))
 
 
-@query(f"""WITH {_EDGES}, seeds AS (SELECT artist_id FROM degree ORDER BY degree, artist_id LIMIT 40), {_bfs(25, 2)},
+@query(f"""WITH {_EDGES}, seeds AS (SELECT artist_id FROM degree ORDER BY degree, artist_id LIMIT 40), {_bfs(_DEGREE, 2)},
 large AS (SELECT seed_id FROM d2 GROUP BY 1 HAVING count(*) > {_REACH} UNION SELECT seed_id FROM d2 WHERE dist <= 1 GROUP BY 1 HAVING count(*) > {_REACH}),
 met AS (SELECT x.seed_id AS seed_a, y.seed_id AS seed_b, x.dist + y.dist AS hops, artist_id AS via FROM d2 x JOIN d2 y USING (artist_id) WHERE x.seed_id < y.seed_id AND x.dist + y.dist <= 3 AND x.seed_id NOT IN (FROM large) AND y.seed_id NOT IN (FROM large)),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_a, seed_b ORDER BY hops, via) AS rn FROM met) WHERE rn = 1),
-cut AS (SELECT DISTINCT seed_id FROM d2 WHERE dist = 1 AND artist_id IN (SELECT artist_id FROM degree WHERE degree > 25)),
+cut AS (SELECT DISTINCT seed_id FROM d2 WHERE dist = 1 AND artist_id IN (SELECT artist_id FROM degree WHERE degree > {_DEGREE})),
 judged AS (SELECT a.artist_id AS seed_a, b.artist_id AS seed_b, hops, via, a.artist_id IN (FROM large) OR b.artist_id IN (FROM large) AS big, a.artist_id IN (FROM cut) OR b.artist_id IN (FROM cut) AS hub
   FROM seeds a JOIN seeds b ON a.artist_id < b.artist_id LEFT JOIN best ON seed_a = a.artist_id AND seed_b = b.artist_id)
 SELECT seed_a, seed_b, CASE WHEN hops IS NOT NULL THEN 'found' WHEN big OR hub THEN 'skipped' ELSE 'no_path' END AS status, hops, via, CASE WHEN hops IS NOT NULL THEN NULL WHEN big THEN 'reach_too_large' WHEN hub THEN 'frontier_too_large' END AS skip_reason FROM judged""")
 def pair_status_bounded(spark, sf_dir):
     e = _stored(spark, sf_dir)
     seeds = materialize(edges.degrees(e).orderBy("degree", "artist_id").limit(40).select("artist_id"), "seeds")
-    return graph.scored_pairs(e, seeds, 3, max_degree=25, max_rows=_REACH)[0]
+    return graph.scored_pairs(e, seeds, 3, max_degree=_DEGREE, max_rows=_REACH)[0]
 
 
 _PLAYS = f"{_any(list(LENS.performer_categories))}"

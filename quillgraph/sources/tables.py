@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Tables of a snapshot. Tables stay readable when they are empty or missing.
 SCHEMAS = {
@@ -21,7 +25,7 @@ SCHEMAS = {
 
 _ARTIST = "struct<id:string,name:string,anv:string,join:string,role:string,tracks:string>"
 _TRACK = "position:array<string>,title:array<string>,duration:array<string>,artists:struct<artist:array<{a}>>,extraartists:struct<artist:array<{a}>>".format(a=_ARTIST)
-#: Sub-tracks are read to this depth; a release with deeper ones is an error, so that no track is lost unseen.
+#: Levels of tracks in the schema of the XML scan; releases with deeper ones are read by a parser of their own.
 DEPTH = 5
 
 
@@ -51,6 +55,11 @@ def snapshot_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _xml(spark: SparkSession) -> DataFrameReader:
+    """Records are found by their tags one by one, so that a broken one does not end the scan."""
+    return spark.read.format("xml").option("useLegacyXMLParser", "true")
+
+
 def clean(x: Column) -> Column:
     """Trimmed text, null if blank."""
     t = F.regexp_replace(x, r"^\s+|\s+$", "")
@@ -68,10 +77,58 @@ def _first(c: str) -> Column:
     return clean(F.get(F.col(c), F.lit(0)))
 
 
+_FLAT = f"release_id long, artists array<{_ARTIST}>, extraartists array<{_ARTIST}>, tracks array<struct<path:string,position:string,title:string,duration:string,artists:array<{_ARTIST}>,extra:array<{_ARTIST}>>>"
+
+
+def _too_deep(tracks: Column, depth: int = DEPTH) -> Column:
+    """Whether tracks have sub-tracks below the last level of the schema."""
+    below = (lambda t: clean(t["sub_tracks"]).isNotNull()) if depth <= 1 else (lambda t: _too_deep(t["sub_tracks"]["track"], depth - 1))
+    return F.coalesce(F.exists(tracks, lambda t: F.coalesce(below(t), F.lit(False))), F.lit(False))
+
+
+def _deep_releases(spark: SparkSession, path: str) -> DataFrame:
+    """Releases with tracks of any depth, as rows of _FLAT, for records with as many openings of sub-tracks as a deep one must have.
+
+    Records are split by their end tags as text, and each is parsed by itself; a stack takes the place of nesting."""
+
+    def people(node, name: str) -> list[dict]:
+        return [{k: a.findtext(k) for k in ("id", "name", "anv", "join", "role", "tracks")} for a in node.findall(f"{name}/artist")]
+
+    def text(node, name: str) -> str | None:
+        return (node.findtext(name) or "").strip() or None
+
+    schema = to_arrow_schema(T._parse_datatype_string(_FLAT))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for record in b.column("value").to_pylist():
+                try:
+                    release = ElementTree.fromstring(record[record.index("<release ") :] + "</release>")
+                except (ValueError, ElementTree.ParseError):
+                    continue  # the XML scan reports it as a bad record
+                tracks, stack = [], [(str(i), t) for i, t in reversed(list(enumerate(release.findall("tracklist/track"))))]
+                while stack:
+                    at, t = stack.pop()
+                    tracks.append({"path": at, **{k: text(t, k) for k in ("position", "title", "duration")}, "artists": people(t, "artists"), "extra": people(t, "extraartists")})
+                    stack += [(f"{at}.{i}", x) for i, x in reversed(list(enumerate(t.findall("sub_tracks/track"))))]
+                number = (release.get("id") or "").strip()
+                out.append({"release_id": int(number) if number.isdigit() else None, "artists": people(release, "artists"), "extraartists": people(release, "extraartists"), "tracks": tracks})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+
+    records = spark.read.option("lineSep", "</release>").text(path).where(F.size(F.split("value", "<sub_tracks>")) > DEPTH)
+    return records.mapInArrow(run, _FLAT).where("release_id > 0")
+
+
 def read_release_dump(spark: SparkSession, path: str, snapshot_date: str, source_url: str) -> dict[str, DataFrame]:
-    """The four tables of a release dump (.xml or .xml.gz), each a projection of one streaming XML scan."""
-    raw = spark.read.format("xml").option("rowTag", "release").schema(RELEASE).load(path)
-    raw = raw.withColumn("release_id", positive(F.col("_id"))).where("release_id IS NOT NULL")
+    """The four tables of a release dump (.xml or .xml.gz), each a projection of one streaming XML scan, and bad_records, the
+    beginnings of records that could not be parsed, which the tables go without. Tracks nested deeper than DEPTH levels come from a
+    second scan that parses only records that may have them."""
+    raw = _xml(spark).option("rowTag", "release").option("columnNameOfCorruptRecord", "_bad").schema(f"{RELEASE}, _bad string").load(path)
+    some = F.coalesce("_id", F.lit("")) != "-"  # of every record: the scan does not hand out the records alone
+    bad = raw.where(F.col("_bad").isNotNull() & some).select(F.lit(snapshot_date).alias("snapshot_date"), positive(F.coalesce("_id", F.regexp_extract("_bad", '^<release[^>]* id="([0-9]+)"', 1))).alias("release_id"), F.substring("_bad", 1, 500).alias("record"))
+    raw = raw.withColumn("release_id", positive(F.col("_id"))).where("release_id IS NOT NULL AND _bad IS NULL").drop("_bad")
     date = F.lit(snapshot_date).alias("snapshot_date")
     releases = raw.select(
         date, "release_id", clean(F.col("_status")).alias("status"), _first("title").alias("title"), _first("country").alias("country"), _first("released").alias("released"),
@@ -79,7 +136,9 @@ def read_release_dump(spark: SparkSession, path: str, snapshot_date: str, source
         _first("data_quality").alias("data_quality"), F.lit(source_url).alias("source_url"),
     )
     formats = _formats(raw, snapshot_date)
-    flat = raw.select("release_id", "artists", "extraartists", flat_tracks(F.col("tracklist.track")).alias("tracks"))
+    flat = raw.select("release_id", F.col("artists.artist").alias("artists"), F.col("extraartists.artist").alias("extraartists"), flat_tracks(F.col("tracklist.track")).alias("tracks"), _too_deep(F.col("tracklist.track")).alias("_deep"))
+    deep = _deep_releases(spark, path).join(flat.where("_deep").select("release_id").distinct(), "release_id", "left_semi")
+    flat = flat.where("NOT _deep").drop("_deep").unionByName(deep)
     t = flat.select("release_id", F.posexplode("tracks").alias("track_index", "t"), F.transform("tracks", lambda x: x["path"]).alias("_paths"))
     above = F.regexp_extract("t.path", r"^(.*)\.[0-9]+$", 1)
     tracks = t.select(
@@ -99,14 +158,14 @@ def read_release_dump(spark: SparkSession, path: str, snapshot_date: str, source
         )
 
     of_track = {"track_index": F.col("track_index"), "path": F.col("t.path"), "position": F.col("t.position"), "title": F.col("t.title")}
-    credits = rows(flat, "artists.artist", "release_artist", none).unionByName(rows(flat, "extraartists.artist", "release_credit", none)).unionByName(rows(t, "t.artists", "track_artist", of_track)).unionByName(rows(t, "t.extra", "track_credit", of_track))
-    return {"releases": releases, "tracks": tracks, "credits": credits, "release_formats": formats}
+    credits = rows(flat, "artists", "release_artist", none).unionByName(rows(flat, "extraartists", "release_credit", none)).unionByName(rows(t, "t.artists", "track_artist", of_track)).unionByName(rows(t, "t.extra", "track_credit", of_track))
+    return {"releases": releases, "tracks": tracks, "credits": credits, "release_formats": formats, "bad_records": bad}
 
 
 def read_release_formats(spark: SparkSession, path: str, snapshot_date: str, release_ids: DataFrame | None = None) -> DataFrame:
     """The formats of a release dump alone (of these release_ids): a scan that parses no other element."""
     schema = "_id string, formats struct<format:array<struct<_name:string,_qty:string,_text:string,descriptions:struct<description:array<string>>>>>"
-    raw = spark.read.format("xml").option("rowTag", "release").schema(schema).load(path).withColumn("release_id", positive(F.col("_id"))).where("release_id IS NOT NULL")
+    raw = _xml(spark).option("rowTag", "release").schema(schema).load(path).withColumn("release_id", positive(F.col("_id"))).where("release_id IS NOT NULL")
     if release_ids is not None:
         raw = raw.join(release_ids.select("release_id").distinct(), "release_id", "left_semi")
     return _formats(raw, snapshot_date)
@@ -128,15 +187,14 @@ def flat_tracks(tracks: Column, prefix: Column | None = None, depth: int = DEPTH
         first = lambda c: clean(F.get(t[c], F.lit(0)))
         own = F.array(F.struct(path.alias("path"), first("position").alias("position"), first("title").alias("title"), first("duration").alias("duration"), t["artists"]["artist"].alias("artists"), t["extraartists"]["artist"].alias("extra")))
         if depth <= 1:
-            deeper = F.coalesce(clean(t["sub_tracks"]) != "", F.lit(False))
-            return F.when(deeper, F.raise_error(F.lit(f"sub-tracks are nested deeper than {DEPTH} levels"))).otherwise(own)
+            return own
         return F.concat(own, F.coalesce(flat_tracks(t["sub_tracks"]["track"], path, depth - 1), F.slice(own, 1, 0)))
 
     return F.flatten(F.transform(tracks, one))
 
 
 def read_master_dump(spark: SparkSession, path: str, snapshot_date: str, source_url: str) -> dict[str, DataFrame]:
-    raw = spark.read.format("xml").option("rowTag", "master").schema(MASTER).load(path).withColumn("master_id", positive(F.col("_id"))).where("master_id IS NOT NULL")
+    raw = _xml(spark).option("rowTag", "master").schema(MASTER).load(path).withColumn("master_id", positive(F.col("_id"))).where("master_id IS NOT NULL")
     date = F.lit(snapshot_date).alias("snapshot_date")
     some = lambda c: F.coalesce(F.array_compact(F.transform(c, clean)), F.array().cast("array<string>"))
     masters = raw.select(
@@ -151,7 +209,7 @@ def read_master_dump(spark: SparkSession, path: str, snapshot_date: str, source_
 
 def read_artist_relations(spark: SparkSession, path: str, snapshot_date: str, source_url: str) -> DataFrame:
     """Group memberships, as seen from either side."""
-    raw = spark.read.format("xml").option("rowTag", "artist").schema(ARTIST).load(path).withColumn("artist_id", positive(F.col("id"))).where("artist_id IS NOT NULL")
+    raw = _xml(spark).option("rowTag", "artist").schema(ARTIST).load(path).withColumn("artist_id", positive(F.col("id"))).where("artist_id IS NOT NULL")
 
     def side(names: str, relation: str) -> DataFrame:
         e = raw.select("artist_id", F.explode(names).alias("n"))

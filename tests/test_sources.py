@@ -143,7 +143,6 @@ def test_selection_and_schedule():
     assert more["entries"][:4] == s["entries"] and more["entries"][-1]["date"] == date(2026, 2, 5).isoformat() and selection.schedule_failures(more, candidates) == []
     more["entries"][1] = more["entries"][0]
     assert len(selection.schedule_failures(more, candidates)) >= 3
-    assert selection.betweenness([(1, 2), (2, 3), (3, 4)], 2) == [(2, 2.0), (3, 2.0)]
     assert len(selection.stratified_pairs({i: i for i in range(30)}, 8)) == 8
 
 
@@ -151,10 +150,16 @@ def test_deep_tracks_and_formats_only(spark, tmp_path):
     nest = lambda d: "<track><title>x</title>" + (f"<sub_tracks>{nest(d - 1)}</sub_tracks>" if d else "") + "</track>"
     dump = lambda d: f'<releases><release id="1"><title>t</title><formats><format name="LP" qty="1"/></formats><tracklist>{nest(d)}</tracklist></release></releases>'
     (tmp_path / "ok.xml").write_text(dump(4))
-    (tmp_path / "deep.xml").write_text(dump(5))
-    assert [r.track_path for r in tables.read_release_dump(spark, str(tmp_path / "ok.xml"), "d", "u")["tracks"].orderBy("track_index").collect()] == ["0", "0.0", "0.0.0", "0.0.0.0", "0.0.0.0.0"]
-    with pytest.raises(Exception, match="deeper"):
-        tables.read_release_dump(spark, str(tmp_path / "deep.xml"), "d", "u")["tracks"].collect()
+    inner = dump(20).replace('<release id="1">', '<release id="2"><artists><artist><id>7</id><name>A &amp; B</name></artist></artists>').replace("<title>x</title></track>", "<title>x</title><artists><artist><id>9</id><name>N</name></artist></artists></track><track><title>last</title></track>", 1)
+    (tmp_path / "deep.xml").write_text(dump(1).replace("</releases>", "") + '<release id="3"><title>broken</title><tracklist></release>' + inner.replace("<releases>", ""))
+    ok = tables.read_release_dump(spark, str(tmp_path / "ok.xml"), "d", "u")
+    assert [r.track_path for r in ok["tracks"].orderBy("track_index").collect()] == ["0", "0.0", "0.0.0", "0.0.0.0", "0.0.0.0.0"] and ok["bad_records"].count() == 0
+    deep = tables.read_release_dump(spark, str(tmp_path / "deep.xml"), "d", "u")
+    rows = deep["tracks"].where("release_id = 2").orderBy("track_index").collect()
+    assert [r.track_path for r in rows] == [".".join("0" * (d + 1)) for d in range(21)] + [".".join("0" * 20) + ".1"]
+    assert [r.parent_track_index for r in rows] == [None, *range(20), 19] and rows[-1].title == "last"
+    assert {(r.credit_scope, r.artist_id, r.name, r.track_index) for r in deep["credits"].collect()} == {("release_artist", 7, "A & B", None), ("track_artist", 9, "N", 20)}
+    assert deep["tracks"].where("release_id = 1").count() == 2 and deep["releases"].count() == 2 and deep["bad_records"].count() == 1
     some = spark.createDataFrame([(1,)], "release_id long")
     assert [r.format_name for r in tables.read_release_formats(spark, str(tmp_path / "deep.xml"), "d", some).collect()] == ["LP"]
     assert tables.read_release_formats(spark, str(tmp_path / "ok.xml"), "d", some.where("release_id > 1")).count() == 0
