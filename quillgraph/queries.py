@@ -652,6 +652,17 @@ def family_exclusions(spark, sf_dir):
     return analyses.family_pairs(analyses.family_groups(_model(spark, sf_dir)))
 
 
+@query(f"""WITH {L.SQL}, g AS (SELECT DISTINCT artist_id, related_artist_id AS group_id FROM artist_relations WHERE relation = 'member_of' UNION SELECT related_artist_id, artist_id FROM artist_relations WHERE relation = 'has_member'),
+p AS (SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON y.l_orderkey = x.l_orderkey AND y.l_linenumber = x.l_linenumber + 1),
+s AS (SELECT DISTINCT p.a, p.b FROM p JOIN g x ON x.artist_id = p.a JOIN g y ON y.artist_id = p.b AND y.group_id = x.group_id)
+SELECT p.a, p.b, p.a = p.b OR s.a IS NOT NULL OR u.artist_id IS NOT NULL OR v.artist_id IS NOT NULL AS excluded FROM p LEFT JOIN s ON s.a = p.a AND s.b = p.b LEFT JOIN g u ON u.artist_id = p.a AND u.group_id = p.b LEFT JOIN g v ON v.artist_id = p.b AND v.group_id = p.a""")
+def family_excluded(spark, sf_dir):
+    t = L.read(spark, sf_dir, "lineitem")
+    x, y = (t.select("l_orderkey", F.col("l_linenumber").alias(f"_{n}"), F.col("l_suppkey").alias(n)) for n in "ab")
+    pairs = x.join(y, (x["l_orderkey"] == y["l_orderkey"]) & (F.col("_b") == F.col("_a") + 1)).select("a", "b").distinct()
+    return analyses.family_excluded(pairs, analyses.family_groups(_model(spark, sf_dir)))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type = 'click'")
 def event_props(spark, sf_dir):
     e = L.read(spark, sf_dir, "events").where("event_type = 'click'")

@@ -63,3 +63,19 @@ def test_routes_take_the_whole_catalog(spark, monkeypatch):
     with pytest.raises(Taken) as routes:
         q.recommended_routes(spark, SF)
     assert routes.value.args[0][1].count() == 30 * 29 // 2 and routes.value.args[1].get("max_hops", 4) == 4
+
+
+def test_self_check_finds_planted_faults(spark):
+    from quillgraph.operators import expand
+    from quillgraph.plans.lens import Model
+    from quillgraph.policies import Policy
+    from tests.model import album, model
+
+    m = model(spark, album(1, [1, 2]) + album(2, [2, 3]) + album(3, [7, 8]), formats=[(1, 0, "LP", ["Album"])])
+    sound = expand.expand_one_hop(m, spark.createDataFrame([(1,)], "release_id long"), Policy())
+    counts = lambda c: tuple(expand.self_check(c, Policy()).first())
+    assert counts(sound) == (0, 0, 0, 0)
+    k = sound.model
+    lost = Model(k.releases.where("release_id <> 1"), k.credits, k.release_formats, k.masters, k.artist_relations)
+    assert counts(expand.Corpus(lost, sound.frontier, sound.seeds)) == (4, 1, 0, 1)
+    assert counts(expand.Corpus(m, sound.frontier, sound.seeds)) == (0, 0, 1, 0)
