@@ -101,7 +101,7 @@ def _stage(rows: DataFrame, marks: list[int], groups: int, path: str) -> None:
         F.lit(None).cast("string").alias("op"), "bucket",
     )
     mark = F.get(F.array(*[F.lit(m).cast("long") for m in marks]), F.col("batch").cast("int"))
-    rows.unionByName(extra.coalesce(1)).withColumn("mark", F.when(F.col("kind") == BEAT, F.timestamp_millis(mark))).write.partitionBy("batch").parquet(path)
+    rows.unionByName(extra.coalesce(1)).withColumn("mark", F.when(F.col("kind") == BEAT, F.timestamp_millis(mark))).write.option("compression", "zstd").partitionBy("batch").parquet(path)
 
 
 def _frame(blob: bytes, schema: pa.Schema) -> pd.DataFrame:
@@ -214,7 +214,8 @@ def _keeper(slice_ms: int):
 
 
 def _feed(session: SparkSession, root: str, batch: int, slice_ms: int) -> None:
-    """Move a batch to the folders that the stream reads, and start the stream anew on its checkpoint until it has read it."""
+    """Move a batch to the folders that the stream reads, start the stream anew on its checkpoint until it has read it, and delete
+    the batch, which is in the state then."""
     path = session.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
     streams = []
@@ -226,9 +227,11 @@ def _feed(session: SparkSession, root: str, batch: int, slice_ms: int) -> None:
         streams.append(read.withWatermark("mark", "0 seconds"))
     rows = streams[0].unionByName(streams[1])
     kept = rows.groupBy("bucket").applyInPandasWithState(_keeper(slice_ms), _OUTPUT, "waiting binary, versions binary, was long", "append", "EventTimeTimeout")
-    sink = kept.withColumn("batch", F.lit(batch).cast("long")).writeStream.format("parquet").option("path", f"{root}/emitted").option("checkpointLocation", f"{root}/checkpoint").partitionBy("batch")
+    sink = kept.withColumn("batch", F.lit(batch).cast("long")).writeStream.format("parquet").option("compression", "zstd").option("path", f"{root}/emitted").option("checkpointLocation", f"{root}/checkpoint").partitionBy("batch")
     query = sink.trigger(availableNow=True).start()
     query.awaitTermination()
+    for table in ("sales", "changes"):
+        fs.delete(path(f"{root}/{table}/{batch:03d}"), True)
 
 
 def _version(prefix: str) -> Column:
@@ -282,7 +285,7 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, batches: int = BATCHES, s
     for batch in range(batches):
         _feed(session, root, batch, slice_ms)
         digests = spark.read.schema(f"{_OUTPUT}, batch long").parquet(f"{root}/emitted").where(f"batch = {batch} AND rec = {DIGEST}")
-        _spine(spine, digests).write.parquet(f"{root}/spine/batch={batch + 1}")
+        _spine(spine, digests).write.option("compression", "zstd").parquet(f"{root}/spine/batch={batch + 1}")
         spine = spark.read.parquet(f"{root}/spine/batch={batch + 1}")
     _feed(session, root, batches, slice_ms)
 
