@@ -43,7 +43,9 @@ def _ms(col: str, kind: str) -> Column:
     """Whole milliseconds since 1970, of timestamps with or without a zone (read as UTC)."""
     if kind == "timestamp":
         return F.unix_millis(F.col(col))
-    return F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(col).cast("timestamp_ntz")) / 1000).cast("long")
+    at = F.col(col)  # field by field, so that the session's zone plays no part
+    seconds = F.hour(at) * 3600 + F.minute(at) * 60 + F.extract(F.lit("SECOND"), at)
+    return (F.date_diff(at.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86_400_000 + F.floor(seconds * 1000)).cast("long")
 
 
 def _batch(day: Column, batches: int) -> Column:
@@ -285,7 +287,7 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, batches: int = BATCHES, s
     for batch in range(batches):
         _feed(session, root, batch, slice_ms)
         digests = spark.read.schema(f"{_OUTPUT}, batch long").parquet(f"{root}/emitted").where(f"batch = {batch} AND rec = {DIGEST}")
-        _spine(spine, digests).write.option("compression", "zstd").parquet(f"{root}/spine/batch={batch + 1}")
+        _spine(spine, digests).coalesce(partitions).write.option("compression", "zstd").parquet(f"{root}/spine/batch={batch + 1}")
         spine = spark.read.parquet(f"{root}/spine/batch={batch + 1}")
     _feed(session, root, batches, slice_ms)
 
