@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import common, lines, linesketch, minhash, vectors
 from quillgraph.operators import components as core_components
+from tests.llm import line_recall
 from tests.llm.conftest import DOCUMENTS, words
 
 
@@ -230,6 +231,28 @@ def test_recall_by_length(n):
         assert like >= 10 and found >= 0.9, (kind, like, found)
 
 
+@pytest.mark.parametrize("n", [5, 8, 10, 15, 20, 30, 60, 200])
+def test_recall_of_worn_lines(n):
+    """At least 0.9 of the like lines of n words are found with a fifth of the words replaced, or a letter in twenty changed."""
+    for kind, like, found in line_recall.shares(n, ("a fifth of the words replaced", "a letter in twenty changed"), _met, 150 if n < 60 else 40):
+        assert like >= 10 and found >= 0.9, (kind, like, found)
+
+
+def test_many_edit_distances_at_once():
+    r = random.Random(9)
+    pairs = []
+    for _ in range(900):
+        a = "".join(r.choice("abcdefgh é漢") for _ in range(r.choice([1, 9, 63, 64, 65, 128, 150, 200, 900])))
+        b = list(a)
+        for _ in range(int(len(a) * r.random() * 0.35)):
+            i = r.randrange(len(b) + 1)
+            b[i : i + r.randrange(2)] = r.choice(["", "x", "q"])
+        b = "".join(b) if r.random() < 0.8 else "".join(r.choice("abcdefgh ") for _ in b)
+        pairs.append((a, b, int(max(len(a), len(b)) * 0.2)))
+    want = [_distance_at_most(*p) for p in pairs]
+    assert linesketch.all_within(pairs) == want and 100 < sum(want) < 800 and linesketch.all_within([]) == []
+
+
 def test_edit_distance_of_long_lines():
     r = random.Random(5)
     a = "".join(r.choice("abcdefgh ") for _ in range(20_000))
