@@ -373,3 +373,44 @@ def test_copies_without_doc_id(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCUMENTS)
     assert sorted(r.doc_id or 0 for r in minhash.keep_one(docs).collect()) == [1, 2]
     assert sum(len(r.removed) for r in lines.line_report(docs).collect()) == 4
+
+
+def test_tasks_of_lines_make_no_rows_for_pairs():
+    import pyarrow as pa
+
+    n = 12
+    batch = pa.RecordBatch.from_pydict({"task": [1] * n, "near": [1] * n, "id": list(range(n)), "part": [0] * n, "root": [bytes([i]) for i in range(n)], "sim": [7] * n, "more": [7] * n, "size": [100] * n})
+    assert sum(b.num_rows for b in lines._like(0.8, 52)(iter([batch]))) == n
+
+
+def test_blocks_dealt_in_bytes_meet_as_rows_do():
+    import pyarrow as pa
+
+    r = random.Random(4)
+    rows = [(i, [r.randrange(300) << 32 | r.randrange(3) for _ in range(r.randrange(6))]) for i in range(400)] + [(7, [5, 5])]
+    rows = [(i, [b & lines.BLOCK_BITS for b in blocks]) for i, blocks in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.list_(pa.int64()))], ["id", "blocks"])
+    dealt = [x for b in lines._dealt(5)(iter([batch])) for x in b.to_pylist()]
+    got = set()
+    for p in range(5):
+        part = pa.RecordBatch.from_pylist([x for x in dealt if x["part"] == p], pa.schema([("part", pa.int32()), ("blocks", pa.binary()), ("ids", pa.binary())]))
+        got |= {tuple(x.values()) for b in lines._meet()(iter([part])) for x in b.to_pylist()}
+    members = {}
+    for i, blocks in rows:
+        for b in blocks:
+            members.setdefault(b, set()).add(i)
+    assert got == {(b, i, min(m), len(m)) for b, m in members.items() if len(m) > 1 for i in m} and got
+
+
+def test_shuffle_files_go_with_the_frame_that_made_them(spark):
+    import time
+
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    for _ in range(3):
+        common.materialize(spark.range(1000).repartition(5, "id"), "own").count()
+    end = time.time() + 20
+    before = files()
+    common.materialize(spark.range(1000).repartition(40, "id"), "own")
+    while files() > before and time.time() < end:
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
