@@ -47,17 +47,19 @@ def album_catalog(scores: DataFrame, editorial: DataFrame, target: int) -> DataF
 
 def resolve_candidates(model: Model, candidates: DataFrame, policy: Policy) -> DataFrame:
     """Candidates (position, title, artist, release_hint): by hint, redirected to the main release of its master, else by
-    title and artist without regard to case, main releases first; one album an artist, the first in order."""
+    title and artist without regard to case, main releases first; one album an artist, the first in order. What a title and an
+    artist stand for is found once for all candidates, so that no row is made for each release that a candidate could mean."""
     r = model.releases.select("release_id", "master_id", "title", F.coalesce("master_is_main_release", F.lit(False)).alias("main"))
     billed = model.credits.where(F.col("credit_scope") == "release_artist").where(R.not_placeholder(F.col("artist_id"), policy)).groupBy("release_id").agg(F.min(F.struct("artist_id", "name")).alias("_a"))
     known = r.join(billed, "release_id").select("release_id", "master_id", "title", "main", "_a.artist_id", F.col("_a.name").alias("name"))
     main = known.groupBy("master_id").agg(F.min(F.struct((~F.col("main")).alias("v"), "release_id", "artist_id")).alias("_m"))
     hint = candidates.join(known.select(F.col("release_id").alias("release_hint"), "master_id"), "release_hint").join(main, "master_id").select("position", F.lit("hint").alias("how"), F.col("_m.release_id").alias("release_id"), F.col("_m.artist_id").alias("artist_id"))
     low = lambda c: F.lower(F.trim(F.col(c)))
-    rest = candidates.join(hint, "position", "left_anti").select("position", low("title").alias("_t"), low("artist").alias("_n"))
-    text = rest.join(known.select("release_id", "artist_id", "main", low("title").alias("_t"), low("name").alias("_n")), ["_t", "_n"])
-    text = text.groupBy("position").agg(F.min(F.struct((~F.col("main")).alias("v"), "release_id", "artist_id")).alias("_m")).select("position", F.lit("text").alias("how"), F.col("_m.release_id").alias("release_id"), F.col("_m.artist_id").alias("artist_id"))
-    return window_rank(hint.unionByName(text), ["artist_id"], ["position"], 1)
+    named = known.groupBy(low("title").alias("_t"), low("name").alias("_n")).agg(F.min(F.struct((~F.col("main")).alias("v"), "release_id", "artist_id")).alias("_m"))
+    rest = candidates.select("position", low("title").alias("_t"), low("artist").alias("_n")).join(hint.select("position"), "position", "left_anti")
+    text = rest.join(named, ["_t", "_n"]).select("position", F.lit("text").alias("how"), F.col("_m.release_id").alias("release_id"), F.col("_m.artist_id").alias("artist_id"))
+    found = F.struct("position", "how", "release_id")
+    return hint.unionByName(text).groupBy("artist_id").agg(F.min(found).alias("_f")).select("_f.position", "_f.how", "_f.release_id", "artist_id")
 
 
 def review_candidates(model: Model, scores: DataFrame, catalog: DataFrame, policy: Policy) -> DataFrame:
