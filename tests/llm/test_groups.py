@@ -414,3 +414,31 @@ def test_shuffle_files_go_with_the_frame_that_made_them(spark):
     while files() > before and time.time() < end:
         time.sleep(0.2)
     assert files() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_unlike_lines_are_left_early(monkeypatch):
+    """Many pairs go through the recurrence together, without a look at the words of each."""
+    called = []
+    monkeypatch.setattr(linesketch, "_by_words", lambda *_: called.append(1) or False)
+    r = random.Random(2)
+    text = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    pairs = [(text(300), text(310), 62) for _ in range(200)]
+    same = text(305)
+    assert linesketch.all_within([*pairs, (same, same[:100] + "zz" + same[103:], 61)]) == [False] * 200 + [True]
+    assert len(called) <= 1
+
+
+def test_alike_members_of_tasks_in_any_batches():
+    import pyarrow as pa
+
+    r = random.Random(6)
+    rows = [{"task": k, "near": k, "id": r.randrange(99), "part": r.randrange(2), "root": bytes([r.randrange(4)]), "sim": r.choice([0, 7, -1]), "more": 0, "size": r.choice([100, 110, 140])} for k in range(40) for _ in range(r.randrange(1, 9))]
+    want = []
+    for k in range(40):
+        mine = [x for x in rows if x["task"] == k]
+        ok = lines._possible([tuple(x.values())[2:] for x in mine], 0.8, 52) if len(mine) > 1 else np.zeros((1, 1), bool)
+        want += [mine[i] for i in np.flatnonzero(ok.any(0) | ok.any(1))]
+    for n in (3, 50, len(rows)):
+        batches = [pa.RecordBatch.from_pylist(rows[i : i + n]) for i in range(0, len(rows), n)]
+        got = [x for b in lines._like(0.8, 52)(iter(batches)) for x in b.to_pylist()]
+        assert got == [{c: x[c] for c in ["task", *lines._ROW, "near"]} for x in want] and got
