@@ -442,3 +442,30 @@ def test_alike_members_of_tasks_in_any_batches():
         batches = [pa.RecordBatch.from_pylist(rows[i : i + n]) for i in range(0, len(rows), n)]
         got = [x for b in lines._like(0.8, 52)(iter(batches)) for x in b.to_pylist()]
         assert got == [{c: x[c] for c in ["task", *lines._ROW, "near"]} for x in want] and got
+
+
+def test_recall_of_lines_without_long_words():
+    """Tables of digits, numbers and letters, rules, and the same few words or characters again and again."""
+    r = random.Random(5)
+    row = lambda n, pick: " ".join(str(pick()) for _ in range(n))
+    kinds = {
+        "digits": lambda: row(60, lambda: r.randrange(10)), "numbers": lambda: row(40, lambda: r.randrange(1000)), "letters": lambda: row(50, lambda: r.choice("abcdefghijklmnopqrstuvwxyz")),
+        "rules": lambda: r.choice("-=*_") * r.randint(10, 90), "spaced rules": lambda: " ".join(r.choice("-=*_") * r.randint(10, 90)), "a word": lambda: " ".join([r.choice(["ha", "alpha"])] * r.randint(14, 40)),
+        "a character": lambda: r.choice("ab") * r.randint(30, 120),
+    }
+
+    def changed(t):
+        i = r.choice([i for i, c in enumerate(t) if c != " "])
+        return t[:i] + (r.choice("0123456789") if t[i].isalnum() else r.choice("+~")) + t[i + 1 :]
+
+    for kind, make in kinds.items():
+        for edit in (changed, lambda t: t + t[-max(1, len(t) // 12) :]):
+            base = [make() for _ in range(100)]
+            like, found = _met(base, [edit(t) for t in base])
+            assert like >= 10 and found >= 0.9, (kind, like, found)
+
+
+def test_lines_without_long_words_are_found(spark):
+    table = "1 0 2 7 7 4 1 9 0 3 5 2 2 8 1 0 6 4 3 3 9 1 0 5 7 2 8 6 4 1 1 0 3"
+    docs = ["=" * 70, table, " ".join(["ha"] * 30), "=" * 78, table[:20] + "9" + table[21:], " ".join(["ha"] * 33)]
+    assert {r.doc_id: r.removed for r in lines.line_report(_documents(spark, docs)).collect()} == {0: [], 1: [], 2: [], 3: [0], 4: [0], 5: [0]}
